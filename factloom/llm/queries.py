@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat, decontamination, mixing, pii, quality, secrets, sharding, simhash, tokens
+from factloom.llm import chat, decontamination, mixing, passages, pii, quality, secrets, sharding, simhash, tokens
 from factloom.llm.oracle import SQL
 
 #: A public vocabulary; any sentencepiece model file will do.
@@ -55,6 +55,10 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_numbers(_table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate": op7_decontaminate,
         "op8_tokens": op8_tokens,
         "op9_shard": op9_shard,
+        "op10_passages": op10_passages,
     }
 
 
