@@ -66,8 +66,8 @@ def balanced_map(slot_bytes: list[int], n_shards: int) -> SlotMap:
 def rebalanced_map(old: SlotMap, slot_bytes: list[int], n_shards: int, tolerance: float = 0.02) -> SlotMap:
     """The next version: as few slots as needed move from heavy shards to light ones.
 
-    Slots of shards that no longer exist move first; then, while the heaviest shard is more than
-    ``tolerance`` above the mean, its largest slot that fits goes to the lightest shard.
+    Slots of shards that no longer exist move first; then, while a shard is more than ``tolerance``
+    away from the mean, the heaviest gives the lightest the slot that best evens them out.
     """
     shards, loads, held = list(old.shards), [0] * n_shards, [[] for _ in range(n_shards)]
     homeless = []
@@ -90,7 +90,7 @@ def rebalanced_map(old: SlotMap, slot_bytes: list[int], n_shards: int, tolerance
         heavy = max(range(n_shards), key=lambda s: (loads[s], -s))
         light = min(range(n_shards), key=lambda s: (loads[s], s))
         fits = [s for s in held[heavy] if 0 < slot_bytes[s] < loads[heavy] - loads[light]]
-        if loads[heavy] <= (1 + tolerance) * mean or not fits:
+        if max(loads[heavy] - mean, mean - loads[light]) <= tolerance * mean or not fits:
             break
         slot = min(fits, key=lambda s: (abs((loads[heavy] - loads[light]) / 2 - slot_bytes[s]), s))
         held[heavy].remove(slot)
