@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Column functions: text similarity, vectors, identifiers.  All stay in the JVM."""

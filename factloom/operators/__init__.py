@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Relational operators: schema induction, extraction, verification, graphs, communities, retrieval, alignment."""

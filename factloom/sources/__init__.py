@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Readers, writers and model connections."""
