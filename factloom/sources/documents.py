@@ -29,7 +29,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def write_json(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A folder of files with one JSON object a line, readable by both readers above."""
+    """A folder of files with one JSON object a line, for read_jsonl."""
     rows.write.mode(mode).json(path)
 
 

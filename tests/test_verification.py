@@ -1,0 +1,97 @@
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.operators import ontology, verification
+from factloom.schemas import ENTITY_INDEX, RELATIONS, TRIPLES
+
+DOC = ("d1", "the load balancer routes to a server")
+NAMES = [("d1", 0, "e_lb", "load balancer"), ("d1", 1, "e_srv", "server")]
+
+
+def pool(spark, rows):
+    return spark.createDataFrame([(f"t{i}", h, r, t, ev, ["d0", d], s, 0.9, False, i) for i, (h, r, t, ev, d, s) in enumerate(rows)], TRIPLES)
+
+
+def decide(spark, rows, names=NAMES, docs=(DOC,), **options):
+    documents = spark.createDataFrame(list(docs), "doc_id string, text string")
+    relations = spark.createDataFrame([("rel_routes", "routesTo", "", "cls_lb", "cls_srv", "directed", False, False, [])], RELATIONS)
+    triples = pool(spark, rows)
+    found = verification.verify(triples, documents, spark.createDataFrame(names, ENTITY_INDEX), relations, **options)
+    return triples, found, {r["triple_id"]: r for r in found.collect()}
+
+
+FACT = ("e_lb", "rel_routes", "e_srv")
+
+
+def test_consensus_accepts(spark):
+    _, _, got = decide(spark, [(*FACT, "", "d1", "tot"), (*FACT, "", "d1", "open_ie")])
+    assert {r["filter_tag"] for r in got.values()} == {"F1_consensus"}
+    assert got["t0"]["consensus_strategies"] == ["open_ie", "tot"] and got["t0"]["level_reached"] == "semantic" and got["t0"]["tier_score"] is None
+
+
+def test_one_strategy_needs_evidence(spark):
+    _, _, got = decide(spark, [(*FACT, "load balancer routesTo server", "d1", "tot")])
+    assert got["t0"]["filter_tag"] == "F2_explicit_evidence" and got["t0"]["ec_total"] is None
+    parts = [got["t0"][c] for c in ("eb_complete", "eb_subject", "eb_object")]
+    assert parts == pytest.approx([0.35, 0.25, 0.25]) and 0.9 <= got["t0"]["eb_total"] == got["t0"]["tier_score"] < 1
+
+
+def test_grounding_without_evidence(spark):
+    _, _, got = decide(spark, [(*FACT, None, "d1", "tot")])
+    assert got["t0"]["filter_tag"] == "F3_soft_grounding" and got["t0"]["eb_total"] is None
+    assert got["t0"]["ec_total"] == pytest.approx(0.9375)
+    assert got["t0"]["tier_score"] == pytest.approx(0.9375 / 2)
+
+
+def test_rejected_with_reason(spark):
+    names = [("d1", 0, "e_q", "quantum"), ("d1", 1, "e_b", "black hole")]
+    _, _, got = decide(spark, [("e_q", "rel_routes", "e_b", "", "d1", "tot"), ("e_q", "rel_routes", "e_b", "quantum pulls a black hole", "d1", "tot")], names)
+    assert {r["filter_tag"] for r in got.values()} == {"rejected"}
+    assert got["t0"]["ec_total"] == pytest.approx(0.3362637362637363)
+    assert got["t0"]["rejected_reason"].startswith("E_C=0.336") and got["t1"]["rejected_reason"].startswith("E_B=")
+
+
+def test_unknown_names_sources_and_empty_index(spark):
+    _, _, got = decide(spark, [("e_x", "rel_routes", "e_srv", "", "d1", "tot"), (*FACT, "", "none", "tot"), ("server", "rel_routes", "load balancer", "", "d1", "tot")])
+    assert got["t0"]["head_name"] == "" and {r["accepted"] for r in got.values()} == {False}
+    _, _, stubs = decide(spark, [("server", "rel_routes", "load balancer", "", "d1", "tot"), ("server", "rel_routes", "load balancer", "", "d1", "loose")], names=[])
+    assert {r["filter_tag"] for r in stubs.values()} == {"F1_consensus"}
+    assert decide(spark, [])[2] == {}
+
+
+def test_thresholds_and_weights(spark):
+    _, _, got = decide(spark, [(*FACT, "", "d1", "tot")], thresholds=verification.Thresholds(strategies=1))
+    assert got["t0"]["filter_tag"] == "F1_consensus"
+    for make in (lambda: verification.EvidenceWeights(0.5, 0.5, 0.5, 0.5), lambda: verification.GroundingWeights(1.0, 0.5, -0.5)):
+        with pytest.raises(ValueError):
+            make()
+
+
+def test_snapshot_and_dedup(spark):
+    triples, found, _ = decide(spark, [(*FACT, "", "d1", "tot"), (*FACT, "some longer evidence", "d1", "open_ie"), ("e_q", "rel_routes", "e_srv", "", "d1", "tot")])
+    entities = spark.createDataFrame([("e_lb", "load balancer")], "entity_id string, name string")
+    kept, used = verification.verified_snapshot(triples, found, entities)
+    assert sorted(r["triple_id"] for r in kept.collect()) == ["t0", "t1"]
+    assert sorted((r["entity_id"], r["name"]) for r in used.collect()) == [("e_lb", "load balancer"), ("e_srv", "e_srv")]
+    assert verification.deduplicated_facts(kept).first()["triple_id"] == "t0"
+    assert verification.deduplicated_facts(kept, "richest").first()["triple_id"] == "t1"
+
+
+def test_checks(spark):
+    triples = pool(spark, [(*FACT, "long enough", "d1", "tot"), (*FACT, "abc", "d1", "tot"), ("e_lb", "rel_routes", "e_lb", "long enough", "d1", "tot"), ("e_srv", "rel_routes", "e_lb", "long enough", "d1", "tot")])
+    assert [r["triple_id"] for r in verification.syntactic_check(triples).orderBy("ord").collect()] == ["t0", "t3"]
+    classes = spark.createDataFrame([("cls_srv", []), ("cls_lb", ["cls_srv"])], "class_id string, parent_ids array<string>")
+    entities = spark.createDataFrame([("e_lb", "cls_lb"), ("e_srv", "cls_srv")], "entity_id string, type_id string")
+    relations = spark.createDataFrame([("rel_routes", "cls_lb", "cls_srv")], "relation_id string, domain string, range string")
+    ok = verification.semantic_check(triples, entities, relations, ontology.ancestry(classes))
+    assert sorted(r["triple_id"] for r in ok.collect()) == ["t0", "t1", "t2"]
+    scored = spark.createDataFrame([("a", 0.6, 0.4, ["x"] * 9), ("b", 0.5, 0.9, [])], "triple_id string, eb_total double, ec_total double, supporting_spans array<string>")
+    rows = verification.evidential_check(scored).collect()
+    assert [(r["triple_id"], len(r["supporting_spans"])) for r in rows] == [("a", 5)]
+    assert rows[0]["combined"] == pytest.approx((0.6 * 0.4) ** 0.5)
+
+
+def test_scores_stay_out_of_accepted_rows(spark):
+    """The cascade filters: rows that an earlier step accepts carry no later scores."""
+    _, found, _ = decide(spark, [(*FACT, "", "d1", "tot"), (*FACT, "x", "d1", "open_ie")])
+    assert found.filter(F.col("filter_tag").startswith("F1") & (F.col("eb_total").isNotNull() | F.col("ec_total").isNotNull())).count() == 0
