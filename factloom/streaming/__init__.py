@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Incremental ingest with Structured Streaming."""
