@@ -98,7 +98,7 @@ def name_match(name: str | Column, evidence: str | Column) -> Column:
 
 
 def looks_like_predicate(name: str | Column) -> Column:
-    return stripped(name).rlike(r"^[a-z][A-Za-z0-9_]*$")
+    return stripped(name).rlike(r"^[a-z]\w*$")
 
 
 def unfenced(reply: str | Column) -> Column:

@@ -106,7 +106,7 @@ SQL["best_window"] = f"""WITH q AS (SELECT p_partkey, p_name, 'one ' || lower(p_
 {windows("p_partkey", "p_name", "hay", "q")} SELECT k AS p_partkey, round(r, 6) AS ratio, round(r, 6) AS surface FROM best"""
 SQL["stable_ids"] = f"SELECT n_nationkey, {stable_id('cls', 'n_name')} AS class_id, {stable_id('ent', chr(39).join(['n_name || ', ' é', '']))} AS entity_id FROM nation"
 SQL["community_ids"] = "SELECT n_regionkey, 'cm_0_' || substr(sha1('0:' || n_regionkey || ':' || string_agg(n_name, ',' ORDER BY n_name)), 1, 12) AS community_id FROM nation GROUP BY n_regionkey"
-SQL["squeezed_names"] = r"SELECT p_partkey, p_name || ' ' || p_brand AS name, regexp_matches(replace(p_name, ' ', ''), '^[a-z][A-Za-z0-9_]*$') AS predicate FROM part"
+SQL["squeezed_names"] = r"SELECT p_partkey, p_name || ' ' || p_brand AS name, regexp_matches(replace(p_name, ' ', ''), '^[a-z]\w*$') AS predicate FROM part"
 SQL["lead_summaries"] = "SELECT n_regionkey, substr(string_agg(n_name, ', ' ORDER BY n_name) || '. In region ' || n_regionkey || '.', 1, 280) AS summary FROM nation GROUP BY n_regionkey"
 
 # Vectors

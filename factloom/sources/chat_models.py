@@ -54,7 +54,8 @@ class Backend:
     def response_format(self, schema: dict | None) -> object:
         """The strictest form that the backend knows: schema, then JSON, then none."""
         if schema and self.supports_schema:
-            return {"type": "json_schema", "json_schema": {"name": "reply", "schema": schema, "strict": True}} if self.style == "openai" else schema
+            named = dict(strict=True, schema=schema, name="reply")
+            return dict(type="json_schema", json_schema=named) if self.style == "openai" else schema
         if schema and self.supports_json:
             return {"type": "json_object"} if self.style == "openai" else "json"
         return None

@@ -93,9 +93,9 @@ def plain_embedding(t, dim):
     p = f"  {t.lower()}  "
     for i in range(len(p) - 2 if t else 0):
         h = hashlib.sha256(p[i : i + 3].encode()).digest()
-        v[int.from_bytes(h[:4], "big") % dim] += 1.0 if h[4] & 1 else -1.0
-    n = math.sqrt(sum(x * x for x in v)) or 1.0
-    return [x / n for x in v]
+        v[int(h[:4].hex(), 16) % dim] += 2.0 * (h[4] % 2) - 1.0
+    length = math.hypot(*v)
+    return [x / length for x in v] if length else v
 
 
 def test_embeddings(spark):
