@@ -31,8 +31,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise as it is, so that Spark shuffles.
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else with a merge hint: both sides are shuffled.
 
     ``df`` should be cheap to count: a materialised table or a small aggregate.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
