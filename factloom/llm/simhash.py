@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import LOWER, pieces
 from factloom.plans.components import components
-from factloom.plans.scratch import materialise
+from factloom.plans.scratch import broadcast_below, materialise
 
 SHINGLE, DISTANCE, SEED, BITS = 4, 4, 42, 64
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCK = 20_000
+#: Keys of more than two fingerprints that may be broadcast, about 2 MB; a merge join beyond.
+MANY_KEYS = 100_000
 CHUNK = 1 << 16
 
 
@@ -134,7 +136,8 @@ def near_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     keyed = nodes.select("fp", F.explode(variant_keys(F.col("fp"))).alias("key"))
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("n > 1"), "keys")
     pairs = shared.filter((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)).select("u", "v")
-    many = shared.filter("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    # Spark takes an exploded side for as small as its source and might broadcast it; so the other side is checked and named.
+    many = broadcast_below(shared.filter("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), MANY_KEYS)
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     rows = keyed.join(many, "key").withColumn("own", own)
     # Block b meets every block i: the pair (least, greatest) is a group of its own.
