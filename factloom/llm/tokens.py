@@ -7,8 +7,8 @@ pre-token's count is stored at its terminal.  Visiting pre-tokens in sorted orde
 depth first with only the current path in memory.
 
 The vocabulary is a sentencepiece model file whose path is a parameter.  Unigram models bring their
-own scores.  BPE models have ranks, not probabilities; then rank r has the Zipf score
--log(r + 1), which keeps the published order and learns nothing.  Pre-tokens are runs without white
+own scores.  BPE models have ranks (whole numbers), not probabilities; then the r-th piece has the Zipf
+score -log(r + 1), which keeps the published order and learns nothing.  Pre-tokens are runs without white
 space, each with the model's word mark in front.  A character without a piece counts as its UTF-8
 bytes (byte fallback).  Equal scores prefer fewer pieces.
 
@@ -42,31 +42,32 @@ def load_scores(path: str) -> dict[str, float]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     own = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     raw = {model.id_to_piece(i): model.get_score(i) for i in own}
-    ranks = sorted(raw.values(), reverse=True)
-    if all(s == -r for r, s in enumerate(ranks)):  # BPE: the scores only number the merges
-        return {p: -math.log(1 - s) for p, s in raw.items()}
+    if all(x == int(x) for x in raw.values()):  # BPE: the scores only number the merges
+        return {p: -math.log(r) for r, p in enumerate(sorted(raw, key=lambda p: (-raw[p], p)), 2)}
     return raw
 
 
 class Unigram:
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.longest = scores, max(map(len, scores), default=1)
-        self.unknown = min(scores.values(), default=0.0) - 10.0
+        self.longest, self.unknown = max(map(len, scores), default=1), min(scores.values(), default=0.0) - 10.0
+        #: Every suffix of every piece: its score, or None if it is no piece itself.
+        self.suffixes: dict[str, float | None] = {p[i:]: None for p in scores for i in range(len(p))}
+        self.suffixes.update(scores)
 
     def step(self, word: str, i: int, path: list[tuple[float, int]]) -> tuple[float, int]:
         """The state of the prefix word[:i], given those of all shorter prefixes: (score, -pieces), the greater the better."""
-        get, best = self.scores.get, (-math.inf, 0)
-        for j in range(i - 1, max(-1, i - self.longest - 1), -1):
-            s = get(word[j:i])
-            if s is None:
-                if j != i - 1:
-                    continue
-                size = len(word[j:i].encode())
-                state = (path[j - i][0] + self.unknown * size, path[j - i][1] - size)
-            else:
+        get, best = self.suffixes.get, (-math.inf, 0)
+        for j in range(i - 1, -1, -1):
+            s = get(word[j:i], False)
+            if s:  # scores are below 0
                 state = (path[j - i][0] + s, path[j - i][1] - 1)
-            if state > best:
-                best = state
+                if state > best:
+                    best = state
+            elif j == i - 1:
+                size = len(word[j].encode())
+                best = (path[-1][0] + self.unknown * size, path[-1][1] - size)
+            if s is False:
+                break  # no piece ends with this, so none with more
         return best
 
     def count(self, word: str) -> int:
