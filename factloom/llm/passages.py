@@ -96,7 +96,8 @@ def seeds(docs: DataFrame) -> DataFrame:
 def matches(seed_rows: DataFrame) -> DataFrame:
     """doc, anchor, pos, apos: each seed's place, and its place in the first document that has it."""
     firsts = seed_rows.filter("first").groupBy("h").agg(F.min("doc").alias("anchor"), F.min_by("pos", "doc").alias("apos"), F.max("doc").alias("last"))
-    shared = firsts.filter("anchor <> last").select("h", "anchor", "apos")
+    # Written, so that the join has a shuffle of its own on each side, which Spark can split where it is skewed.
+    shared = materialise(firsts.filter("anchor <> last").select("h", "anchor", "apos"), "shared-seeds")
     return seed_rows.join(shared, "h").filter("doc <> anchor").select("doc", "anchor", "pos", "apos")
 
 
@@ -255,7 +256,7 @@ def aligned(left: list[int], right: list[int], pos: list[int], apos: list[int])
 
 def passages(docs: DataFrame) -> DataFrame:
     """doc, start, end, anchor, anchor_start, anchor_end (words, ends exclusive) of aligned passages; short ones too."""
-    chains = materialise(chained(matches(seeds(docs))), "chains")
+    chains = materialise(chained(matches(materialise(seeds(docs), "seeds"))), "chains")
     ids = chains.select(F.col("doc").alias("id")).unionByName(chains.select(F.col("anchor").alias("id"))).distinct()
     words = materialise(involved_words(docs, ids), "words")
 
@@ -325,7 +326,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # A link counts if its document's joined spans count.
     long = spans.filter("side = 0").select(F.col("id").alias("doc"))
     links = materialise(found.select("doc", "anchor").distinct().join(long, "doc"), "links")
-    ends = links.groupBy(F.col("doc").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("anchor")), ",").alias("earlier_ids"), F.count("*").alias("up"))
+    ends = links.groupBy(F.col("doc").alias("id")).agg(F.sort_array(F.collect_list("anchor")).alias("earlier_ids"), F.count("*").alias("up"))
     ends = ends.join(links.groupBy(F.col("anchor").alias("id")).agg(F.count("*").alias("down")), "id", "full")
     classes = components(links.select(F.col("doc").alias("u"), F.col("anchor").alias("v"))).select(F.col("node").alias("id"), F.col("component").alias("class_id"))
     by_side = spans.filter("side = 0").select("id", F.col("n_words").alias("n_repeated"), F.col("spans").alias("repeated_spans"))
@@ -334,7 +335,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id").join(about, F.col("doc_id").cast("long") == F.col("id"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.select(
-        "doc_id", zero("n_repeated").alias("n_repeated"), F.coalesce("repeated_spans", F.lit("")).alias("repeated_spans"), F.coalesce("earlier_ids", F.lit("")).alias("earlier_ids"),
+        "doc_id", zero("n_repeated").alias("n_repeated"), F.coalesce("repeated_spans", F.lit("")).alias("repeated_spans"), F.coalesce("earlier_ids", F.array().cast("array<bigint>")).alias("earlier_ids"),
         zero("n_first").alias("n_first"), F.coalesce("first_spans", F.lit("")).alias("first_spans"),
         (zero("up") + zero("down")).alias("n_links"), F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"),
     )
