@@ -22,6 +22,8 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()  # texts come in batches of tens of MB; two workers share an executor
 
 
 def rows_to_batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:

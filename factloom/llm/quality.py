@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,7 +145,9 @@ def certified_cutoffs(feats: DataFrame, labels: DataFrame, risk: Risk = Risk())
     counts = materialise(rows.select("stratum", "held", "good", rule).groupBy("stratum", "held", "good", "x.rule", "x.level").agg(F.count("*").alias("n")), "label-counts")
     tests = max(1, counts.select("stratum").distinct().count() * len(RULES))
 
-    def calibrate(pdf: pd.DataFrame) -> pd.DataFrame:
+    def calibrate(pdf):
+        import pandas as pd  # here, as every worker that counts features would hold it otherwise
+
         cuts = {}
         for i, r in enumerate(RULES):
             grid = np.zeros((2, 2, LEVELS))
