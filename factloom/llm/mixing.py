@@ -101,17 +101,25 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it.
 
-    Rows meet their copies by id and, where an id is repeated, by place among its rows, so a
-    repeated row never multiplies.
+    Rows meet their copies by id, so texts are shuffled once.  Rows of a repeated id, if there are any, meet
+    theirs by id and place among the id's rows, so a repeated row never multiplies.
     """
-    key, place = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), ("_source", "_size")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(*place))
-    # A size that both sides can compute alike: rows of one id that tie here are interchangeable.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     plan = plan_mix(docs.select("doc_id", "source", "text"), **options)
-    plan = plan.select(key.alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").withColumn("_nth", nth).select("_key", "_nth", F.col("copies").alias("_copies"))
-    words = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))).cast("long")
-    count = Window.partitionBy("_key")
-    rows = docs.withColumn("_key", key).withColumn("_source", F.col("source").cast("string")).withColumn("_many", F.count("*").over(count) > 1)
-    rows = rows.withColumn("_size", F.when(F.col("_many"), words).otherwise(F.lit(0))).withColumn("_nth", nth)
-    out = rows.join(plan, ["_key", "_nth"]).filter(F.col("_copies") > 0)
+    plan = materialise(plan.select(key.alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")), "copies")
+    repeated = materialise(plan.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"), "repeated")
+    rows = docs.withColumn("_key", key)
+    # Merged at every size: a small plan would be broadcast and then cost otherwise than a large one.
+    out = rows.join(plan.select("_key", "_copies").hint("merge"), "_key")
+    if repeated.count():
+        few = broadcast_below(repeated, COUNT_ROWS)
+        # Ties are rows of one id, source and size: interchangeable for the plan.
+        nth = F.row_number().over(Window.partitionBy("_key").orderBy("_source", "_size"))
+        words = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))).cast("long")
+        many = rows.join(few, "_key", "left_semi").withColumn("_source", F.col("source").cast("string")).withColumn("_size", words).withColumn("_nth", nth)
+        places = plan.join(few, "_key", "left_semi").withColumn("_nth", nth).select("_key", "_nth", "_copies")
+        single = rows.join(few, "_key", "left_anti").join(plan.join(few, "_key", "left_anti").select("_key", "_copies"), "_key")
+        columns = [*docs.columns, "_copies"]
+        out = single.select(*columns).unionByName(many.join(places, ["_key", "_nth"]).select(*columns))
+    out = out.filter(F.col("_copies") > 0)
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
