@@ -9,11 +9,15 @@ words of a value are candidates.  In documents that hold e, a candidate whose sh
 wherever in the text it stands.
 
 Evidence has to be independent: copies of one document are one witness.  Each document carries a
-min-hash of its five-word shingles, and a term needs ``support`` different min-hashes, and
-half as many as it has documents.
+min-hash of its five-word shingles, and every count (of documents with e, with t, with both, and in
+all) is of different min-hashes.  A pair with ``support`` witnesses is judged by its share alone.
+One with fewer, down to a value found in one document, also needs that the corpus is large
+enough to show it: that many shared witnesses are expected by accident at most ``chance`` times.
 
-Counts cover all documents.  How many documents hold a term is counted for candidates only: tasks
+Counts cover all documents.  How many witnesses hold a term is counted for candidates only: tasks
 pass the words whose hash is set in a bitmap of fixed size, and the join that follows is exact.
+Documents without a copy are their own witness and are counted in the tasks; a term that they
+make too common is done with, and only for the others are the copies' min-hashes shuffled.
 
 A null text is empty.  A null doc_id is an id like any other.  Rows with the same id get all spans
 of terms found for the id that fit each row's own text.  Empty tables give no rows.
@@ -29,10 +33,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import pieces, rows_to_batch, sha256_hex
+from factloom.llm.passages import WordCodes, kmers, word_codes
 from factloom.plans.scratch import materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -44,8 +49,7 @@ IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]+")
-SPACED = re.compile(r"[^\x20\x09-\x0d]+")
-MAP_BITS = 1 << 20
+MAP_BITS = 1 << 24
 FLUSH = 200_000
 
 
@@ -53,6 +57,7 @@ FLUSH = 200_000
 class Disclosure:
     window: int = 25
     support: int = 3
+    chance: float = 0.01
     generalise: float = 0.75
     remove: float = 0.95
     min_chars: int = 3
@@ -108,10 +113,12 @@ def term_hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode(), 42)
 
 
-def witness(words: list[str]) -> int:
+def witness(text: str, codes: WordCodes) -> int:
     """A min-hash of five-word shingles: documents that are copies of each other mostly share it."""
-    n = max(1, len(words) - 4)
-    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 7) for i in range(n)) & (2**63 - 1)
+    words = word_codes(text.encode(), codes)
+    shingles = kmers(words)
+    least = int(shingles.min()) if len(shingles) else xxhash.xxh64_intdigest(words.tobytes(), 7)
+    return least & (2**63 - 1)
 
 
 def revealing_candidates(text: str, base: list[tuple[int, int, int]], rule: Disclosure) -> dict[str, dict[str, list[tuple[int, int]]]]:
@@ -141,17 +148,17 @@ def scan(docs: DataFrame, rule: Disclosure) -> DataFrame:
     names = pa.schema([("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base", pa.string()), ("value", pa.int64()), ("term", pa.string()), ("witness", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes()
         for b in pieces(batches):
             rows, at = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                base = base_spans(text or "")
+                base, sketch = base_spans(text or ""), witness(text or "", codes)
                 counts = [0] * 4
                 for _, k, _ in base:
                     counts[k] += 1
-                rows.append((*counts, listed(base), None, None, None))
+                rows.append((*counts, listed(base), None, None, sketch))
                 at.append(i)
                 if base:
-                    sketch = witness(SPACED.findall(text.lower()))
                     for value, terms in revealing_candidates(text, base, rule).items():
                         number = term_hash(value) - 2**63
                         for term, spans in terms.items():
@@ -163,53 +170,79 @@ def scan(docs: DataFrame, rule: Disclosure) -> DataFrame:
     return materialise(out, "pii")
 
 
-def term_documents(docs: DataFrame, wanted: DataFrame, rule: Disclosure) -> DataFrame:
-    """term, n: how many documents hold each wanted term; counts are summed in the tasks first."""
-    bit = F.pmod(F.xxhash64("term"), F.lit(MAP_BITS))
-    parts = wanted.select(bit.alias("bit")).groupBy((F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg((F.col("bit") % 32768).cast("long")).alias("bits"))
-    mask = np.zeros(MAP_BITS, bool)
+def bitmap(keys: DataFrame, bit: Column) -> np.ndarray:
+    """MAP_BITS bits, packed, with those of ``keys`` set."""
+    parts = keys.select(bit.alias("bit")).groupBy((F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg((F.col("bit") % 32768).cast("long")).alias("bits"))
+    mask = np.zeros(MAP_BITS // 8, np.uint8)
     for r in parts.collect():  # at most MAP_BITS / 32768 rows of 4 KB
-        mask[r["part"] * 32768 : (r["part"] + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-    shared, least = docs.sparkSession.sparkContext.broadcast(np.packbits(mask)), rule.min_chars
-    names = pa.schema([("term", pa.string()), ("n", pa.int64())])
+        mask[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return mask
+
+
+def term_witnesses(docs: DataFrame, wanted: DataFrame, copied: np.ndarray, copies: bool, rule: Disclosure) -> DataFrame:
+    """term, n: how many witnesses hold each wanted term, among documents in the bitmap ``copied`` (by id) or among all others.
+
+    The others have a witness each, and their counts are summed in the tasks first.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    shared, least = docs.sparkSession.sparkContext.broadcast((bitmap(wanted, bit("term")), copied)), rule.min_chars
+    names = pa.schema([("term", pa.string()), ("witness", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, counts, known = np.unpackbits(shared.value).astype(bool).tobytes(), Counter(), {}
+        (terms, ids), counts, known, codes = shared.value, Counter(), {}, WordCodes()
         for b in pieces(batches):
-            for text in b.column(0).to_pylist():
+            number = b.column(1).to_numpy()
+            for i in np.flatnonzero((ids[number >> 3] >> (number & 7).astype(np.uint8) & 1).astype(bool) == copies).tolist():
+                text = b.column(0)[i].as_py()
                 if not text:
                     continue
-                for w in set(WORD.findall(text.lower())):
+                sketch = witness(text, codes) if copies else None
+                for w in {w.lower() for w in set(WORD.findall(text))}:
                     hit = known.get(w)
                     if hit is None:
-                        hit = known[w] = len(w) >= least and bits[term_hash(w) % MAP_BITS]
+                        h = term_hash(w) % MAP_BITS
+                        hit = known[w] = bool(len(w) >= least and terms[h >> 3] >> (h & 7) & 1)
                     if hit:
-                        counts[w] += 1
+                        counts[w, sketch] += 1
             if len(known) > FLUSH:
                 known.clear()
             if len(counts) > FLUSH:
-                yield rows_to_batch(list(counts.items()), names)
+                yield rows_to_batch([(*k, n) for k, n in counts.items()], names)
                 counts.clear()
-        yield rows_to_batch(list(counts.items()), names)
+        yield rows_to_batch([(*k, n) for k, n in counts.items()], names)
 
-    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = docs.select("text", bit("doc_id").alias("bit")).mapInArrow(run, "term string, witness long, n long")
+    if copies:
+        rows = rows.groupBy("term", "witness").agg(F.lit(1).alias("n"))
+    return rows.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, rule: Disclosure) -> DataFrame:
     """value, term, share (of the value's information that the term gives away), action."""
-    pairs = found.filter(F.col("value").isNotNull())
-    by_witness = pairs.groupBy("value", "term", "witness").agg(F.count("*").alias("n"))
-    joint = by_witness.groupBy("value", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("witnesses"))
-    joint = materialise(joint.filter((F.col("witnesses") >= rule.support) & (2 * F.col("witnesses") >= F.col("n_both"))), "joint")
-    values = pairs.groupBy("value", "doc_id").agg(F.lit(1)).groupBy("value").agg(F.count("*").alias("n_value"))
-    holders = materialise(term_documents(docs, joint.select("term").distinct(), rule), "holders")
-    total = F.lit(float(max(1, found.filter(F.col("value").isNull()).count())))
-    rows = joint.join(holders, "term").join(values, "value")
-    information = F.log2(total / F.col("n_value"))
-    pmi = F.log2(F.least(F.col("n_both") / F.col("n"), F.lit(1.0)) * total / F.col("n_value"))
-    share = F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
+    pairs, every = found.filter(F.col("value").isNotNull()), found.filter(F.col("value").isNull())
+    joint = materialise(pairs.select("value", "term", "witness").distinct().groupBy("value", "term").agg(F.count("*").alias("n_both")), "joint")
+    values = pairs.select("value", "witness").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
+    sizes = every.groupBy("witness").agg(F.count("*").alias("size"))
+    total = max(1, sizes.count())
+    several = every.join(sizes.filter("size > 1"), "witness", "left_semi")
+    copied = bitmap(several, F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)))
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """Rows whose share and chance reach the limits; both only get worse with a larger n."""
+        n, accident = F.greatest("n", "n_both"), F.lit(1.0)
+        information = F.log2(F.lit(float(total)) / F.col("n_value"))
+        share = F.when(information > 0, F.log2(F.col("n_both") / n * total / F.col("n_value")) / information).otherwise(F.lit(0.0))
+        for i in range(rule.support - 1):  # the expected number of sets of n_both witnesses that both have
+            accident *= F.when(F.col("n_both") > i, (n - i) * (F.col("n_value") - i) / float(max(1, total - i) * (i + 1))).otherwise(F.lit(1.0))
+        return rows.withColumn("share", share).filter((F.col("share") >= rule.generalise) & ((F.col("n_both") >= rule.support) | (accident <= rule.chance)))
+
+    single = term_witnesses(docs, joint.select("term"), copied, False, rule)
+    rows = joint.join(values, "value").join(single, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    left = materialise(judged(rows).drop("share"), "judged")
+    more = term_witnesses(docs, left.select("term"), copied, True, rule).withColumnRenamed("n", "more")
+    rows = judged(left.join(more, "term", "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0))))
     action = F.when(F.col("share") >= rule.remove, "remove").otherwise("generalise")
-    return rows.withColumn("share", share).filter(F.col("share") >= rule.generalise).select("value", "term", "share", action.alias("action"))
+    return rows.select("value", "term", "share", action.alias("action"))
 
 
 def personal_data(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:

@@ -78,3 +78,35 @@ def test_sanitise_and_empty(spark, make_docs):
     out = {r["doc_id"]: r["text"] for r in pii.sanitise(make_docs(["mail a@b.cd now", None])).collect()}
     assert out == {0: "mail [EMAIL] now", 1: None}
     assert pii.personal_data(make_docs([])).count() == 0
+
+
+def test_low_counts_and_copies_are_judged_by_share(spark, make_docs):
+    once = ["Quillon lives with lone@firm.com near the common river"]
+    seen = [f"Zephyr{' x' * 30} lead{i} Marlow signs boss@firm.com beside the common river part{i} page{i}" for i in range(3)]
+    copies = [seen[0]] * 20
+    far = [f"the common river number{i} has place{i} and thing{i} to see" for i in range(300)]
+    texts = [*once, *seen, *copies, *far]
+    got = {r["doc_id"]: r for r in pii.personal_data(make_docs(texts)).collect()}
+    terms = lambda i, column: {texts[i][a:z] for k, a, z in pii.parse(got[i][column]) if k == "term"}
+    assert "Quillon" in terms(0, "removed") and not {"the", "common", "river"} & terms(0, "spans")
+    for i in (1, 2, 3, 4, 23):
+        assert "Marlow" in terms(i, "removed") and not {"the", "common", "river"} & terms(i, "spans")
+    assert all(got[i]["n_term"] == 0 for i in range(24, len(texts)))
+
+
+def test_counts_are_of_witnesses(spark, make_docs):
+    texts = [f"Marlow{i % 4} signs at boss@firm.com with page{i} and part{i}" for i in range(8)] * 3
+    texts += [f"Marlow{i} stands alone as number{i} in row{i}" for i in range(3)] * 2 + [f"other words number{i} here row{i}" for i in range(200)]
+    docs, rule = make_docs(texts), pii.Disclosure()
+    codes = pii.WordCodes()
+    which = {t: pii.witness(t, codes) for t in texts}
+    count = lambda *words: len({which[t] for t in texts if all(w in t.split() for w in words)})
+    got = {r["term"]: r["share"] for r in pii.disclosures(docs, pii.scan(docs, rule), rule).collect()}
+    n_value, total = count("boss@firm.com"), len(set(which.values()))
+    for term in ("Marlow0", "Marlow1", "Marlow3", "signs"):
+        both, n = count(term, "boss@firm.com"), count(term)
+        share = math.log2(both / n * total / n_value) / math.log2(total / n_value)
+        accident = math.comb(n, both) * math.comb(n_value, both) / math.comb(total, both)
+        assert (term.lower() in got) == (share >= rule.generalise and (both >= rule.support or accident <= rule.chance)), term
+        if term.lower() in got:
+            assert got[term.lower()] == pytest.approx(share)
