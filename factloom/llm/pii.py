@@ -4,7 +4,8 @@ Redacting an address is not enough if a rare name beside it occurs nowhere else.
 co-occurrence says how strongly a term t reveals a protected value e: with IC(e) = -log2 p(e) and
 PMI(t, e) = log2(p(e | t) / p(e)), the share PMI / IC is 0 if t tells nothing about e and 1 if t
 occurs only with e.  All probabilities are over documents.  Terms within ``Disclosure.window``
-words of a value are candidates.  In documents that hold e, a candidate whose share reaches
+words of a value in any document are candidates, and then count in every document that holds both,
+however far apart.  In documents that hold e, a candidate whose share reaches
 ``generalise`` is generalised (replaced by its kind), one that reaches ``remove`` is removed,
 wherever in the text it stands.
 
@@ -121,31 +122,41 @@ def witness(text: str, codes: WordCodes) -> int:
     return least & (2**63 - 1)
 
 
-def revealing_candidates(text: str, base: list[tuple[int, int, int]], rule: Disclosure) -> dict[str, dict[str, list[tuple[int, int]]]]:
-    """protected value -> term -> all spans of the term in the text, for terms near the value."""
+def term_places(text: str, base: list[tuple[int, int, int]], rule: Disclosure) -> tuple[np.ndarray, list[str], dict[str, list[tuple[int, int]]]]:
+    """The starts of all words, the words, and term -> all its spans in the text; words inside base spans are no terms."""
     words = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
     starts = np.array([w[0] for w in words], np.int64)
     inside = np.zeros(len(words), bool)
     for a, _, z in base:
         inside[np.searchsorted(starts, a) : np.searchsorted(starts, z)] = True
-    places: dict[str, list[int]] = {}
-    for i, (_, _, w) in enumerate(words):
+    places: dict[str, list[tuple[int, int]]] = {}
+    for i, (a, z, w) in enumerate(words):
         if not inside[i] and len(w) >= rule.min_chars:
-            places.setdefault(w, []).append(i)
-    out: dict[str, dict[str, list[tuple[int, int]]]] = {}
+            places.setdefault(w, []).append((a, z))
+    return starts, [w[2] for w in words], places
+
+
+def value_number(text: str, a: int, k: int, z: int) -> int:
+    return term_hash(f"{KINDS[k]}:{text[a:z].lower()}") - 2**63
+
+
+def revealing_candidates(text: str, base: list[tuple[int, int, int]], rule: Disclosure) -> dict[int, set[str]]:
+    """protected value -> terms near it."""
+    starts, words, places = term_places(text, base, rule)
+    out: dict[int, set[str]] = {}
     for a, k, z in base:
         lo, hi = int(np.searchsorted(starts, a)), int(np.searchsorted(starts, z))
-        near = {words[i][2] for i in range(max(0, lo - rule.window), min(len(words), hi + rule.window))}
-        value = out.setdefault(f"{KINDS[k]}:{text[a:z].lower()}", {})
-        for w in near & places.keys():
-            value[w] = [words[i][:2] for i in places[w]]
+        near = set(words[max(0, lo - rule.window) : hi + rule.window])
+        out.setdefault(value_number(text, a, k, z), set()).update(near & places.keys())
     return out
 
 
+FOUND = pa.schema([("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base", pa.string()), ("value", pa.int64()), ("term", pa.string()), ("witness", pa.int64())])
+FOUND_SQL = "n_email long, n_ip long, n_card long, n_phone long, base string, value long, term string, witness long"
+
+
 def scan(docs: DataFrame, rule: Disclosure) -> DataFrame:
-    """One pass: a row of results for each document (value null), and a row for each candidate (value, term)."""
-    id_type = docs.schema["doc_id"].dataType
-    names = pa.schema([("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base", pa.string()), ("value", pa.int64()), ("term", pa.string()), ("witness", pa.int64())])
+    """A row of results for each document (value null), one for each value in it (term null), and one for each candidate (value, term) that it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
@@ -160,14 +171,45 @@ def scan(docs: DataFrame, rule: Disclosure) -> DataFrame:
                 at.append(i)
                 if base:
                     for value, terms in revealing_candidates(text, base, rule).items():
-                        number = term_hash(value) - 2**63
-                        for term, spans in terms.items():
-                            rows.append((0, 0, 0, 0, ",".join(f"{a}:{z}" for a, z in spans), number, term, sketch))
+                        for term in (None, *terms):
+                            rows.append((0, 0, 0, 0, None, value, term, sketch))
                             at.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *rows_to_batch(rows, names).columns], ["doc_id", *names.names])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *rows_to_batch(rows, FOUND).columns], ["doc_id", *FOUND.names])
+
+    near = materialise(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND_SQL}"), "pii")
+    return near.filter(F.col("term").isNull()).unionByName(materialise(held(docs, near, rule), "held"))
+
+
+def held(docs: DataFrame, near: DataFrame, rule: Disclosure) -> DataFrame:
+    """A row for each document and candidate (value, term) in it, with all spans of the term, near the value or not.
+
+    A bitmap says which documents hold values, another which pairs are candidates; the join that follows is exact.
+    """
+    wanted = near.filter(F.col("term").isNotNull()).select("value", "term").distinct()
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    pairs = bitmap(wanted, F.pmod(F.col("value").bitwiseXOR(F.xxhash64("term")), F.lit(MAP_BITS)))
+    shared = docs.sparkSession.sparkContext.broadcast((pairs, bitmap(near.filter(F.col("value").isNotNull()), number)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (bits, ids), codes = shared.value, WordCodes()
+        for b in pieces(batches):
+            numbers = b.column(2).to_numpy()
+            for i in np.flatnonzero(ids[numbers >> 3] >> (numbers & 7).astype(np.uint8) & 1).tolist():
+                text = b.column(1)[i].as_py() or ""
+                base = base_spans(text)
+                if not base:
+                    continue
+                sketch, places = witness(text, codes), term_places(text, base, rule)[2]
+                terms = list(places)
+                hashes = np.array([term_hash(w) % MAP_BITS for w in terms], np.int64)
+                spans = [",".join(f"{a}:{z}" for a, z in places[w]) for w in terms]
+                for value in {value_number(text, *span) for span in base}:
+                    h = hashes ^ value % MAP_BITS
+                    rows = [(0, 0, 0, 0, spans[j], value, terms[j], sketch) for j in np.flatnonzero(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).tolist()]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(rows), pa.int64())), *rows_to_batch(rows, FOUND).columns], ["doc_id", *FOUND.names])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, value long, term string, witness long")
-    return materialise(out, "pii")
+    rows = docs.select("doc_id", "text", number.alias("bit")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND_SQL}")
+    return rows.join(wanted, ["value", "term"], "left_semi").select("doc_id", *FOUND.names)
 
 
 def bitmap(keys: DataFrame, bit: Column) -> np.ndarray:
@@ -220,7 +262,7 @@ def term_witnesses(docs: DataFrame, wanted: DataFrame, copied: np.ndarray, copie
 def disclosures(docs: DataFrame, found: DataFrame, rule: Disclosure) -> DataFrame:
     """value, term, share (of the value's information that the term gives away), action."""
     pairs, every = found.filter(F.col("value").isNotNull()), found.filter(F.col("value").isNull())
-    joint = materialise(pairs.select("value", "term", "witness").distinct().groupBy("value", "term").agg(F.count("*").alias("n_both")), "joint")
+    joint = materialise(pairs.filter(F.col("term").isNotNull()).select("value", "term", "witness").distinct().groupBy("value", "term").agg(F.count("*").alias("n_both")), "joint")
     values = pairs.select("value", "witness").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
     sizes = every.groupBy("witness").agg(F.count("*").alias("size"))
     total = max(1, sizes.count())
@@ -249,7 +291,7 @@ def personal_data(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, removed (the spans of terms to remove)."""
     found = scan(docs, rule)
     told = materialise(disclosures(docs, found, rule), "disclosures")
-    terms = found.filter(F.col("value").isNotNull()).join(told, ["value", "term"])
+    terms = found.filter(F.col("term").isNotNull()).join(told, ["value", "term"])
     # One row a document and term, the stronger action first; then a bounded list a document (its own spans).
     per_term = terms.groupBy("doc_id", "term").agg(F.max("action").alias("action"), F.min("base").alias("spans"))
     per_doc = per_term.groupBy("doc_id").agg(F.collect_list(F.struct("spans", "action")).alias("terms")).withColumnRenamed("doc_id", "id")

@@ -110,3 +110,19 @@ def test_counts_are_of_witnesses(spark, make_docs):
         assert (term.lower() in got) == (share >= rule.generalise and (both >= rule.support or accident <= rule.chance)), term
         if term.lower() in got:
             assert got[term.lower()] == pytest.approx(share)
+
+
+def test_terms_far_from_the_value(spark, make_docs):
+    texts = [f"lead{i} Marlow signs boss@firm.com beside page{i}" for i in range(3)]
+    gap = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    texts += [f"Marlow starts {gap(i)} boss@firm.com and ends {gap(i)} signed Marlow" for i in range(3, 6)]
+    texts += [f"other words number{i} here row{i}" for i in range(150)]
+    docs, rule = make_docs(texts), pii.Disclosure()
+    got = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
+    for i in range(6):
+        spans = [(a, z) for k, a, z in pii.parse(got[i]["removed"]) if texts[i][a:z] == "Marlow"]
+        assert spans == [m.span() for m in re.finditer("Marlow", texts[i])]
+    assert all(got[i]["n_term"] == 0 for i in range(6, len(texts)))
+    # Documents with the two far apart are in the joint count, so that the term gives everything away.
+    shares = {r["term"]: r["share"] for r in pii.disclosures(docs, pii.scan(docs, rule), rule).collect()}
+    assert shares["marlow"] == pytest.approx(1.0)
