@@ -30,3 +30,14 @@ def rows_to_batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     """Tuples to a record batch."""
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted``, each with underscores in front until no column is called so, in either case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
