@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -51,3 +53,69 @@ def test_scan(spark, make_docs):
     assert rows[3]["n_assign"] == rows[3]["n_hex"] == 1 and rows[7]["n_access"] == 1
     assert secrets.redact(texts[0], [(2, 25)]) == "x [SECRET]y"
     assert secrets.scan(make_docs([])).count() == 0
+
+
+B62 = string.ascii_letters + string.digits
+CLASSES = {
+    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "mixed": B62, "letters": string.ascii_letters, "base64": B62 + "+/", "url": B62 + "-_",
+    "lower": string.ascii_lowercase + string.digits, "upper": string.ascii_uppercase + string.digits,
+}
+LEXICON = "server load balancer router gateway user name address the of and total count index value parse render token stream cache HTTP URL ID graph query batch merge width height colour Straße".replace("ß", "ss").split()
+
+
+def naturals(rng):
+    for _ in range(1500):
+        words = rng.choices(LEXICON, k=rng.randrange(3, 7))
+        end = rng.choice(["", "2", "V2", "64", "2024"])
+        yield from ("".join(w[:1].upper() + w[1:] for w in words) + end, "_".join(words) + end, "/".join(words) + "/" + end, "-".join(words).upper(), "".join(words).lower(), f"{words[0]}/{rng.randrange(10**6)}/{words[1]}_{end}")
+
+
+@pytest.mark.parametrize("kind", CLASSES)
+def test_recall_of_random_strings(kind):
+    rng, allowed = random.Random(5), secrets.allow_list(secrets.ALLOWED)
+    for size in (20, 24, 32, 40):
+        found = sum(bool(secrets.entropy_spans("key is " + "".join(rng.choices(CLASSES[kind], k=size)) + " !", secrets.Thresholds(), allowed)) for _ in range(1000))
+        assert found >= 920, (kind, size, found)
+
+
+def test_few_identifiers_are_taken_for_secrets():
+    rng, allowed = random.Random(6), secrets.allow_list(secrets.ALLOWED)
+    names = [x for x in naturals(rng) if len(x) >= 20]
+    assert len(names) > 4000
+    assert sum(bool(secrets.entropy_spans(x, secrets.Thresholds(), allowed)) for x in names) <= 0.02 * len(names)
+
+
+def test_planted_secrets_are_found_outside_base_spans(spark, make_docs):
+    rng = random.Random(9)
+    plain_text = "the server said that value of the index is rather large today".split()
+    texts, planted = [], []
+    for i in range(200):
+        secret = "".join(rng.choices(CLASSES[["mixed", "base64", "url", "upper"][i % 4]], k=rng.randrange(24, 44)))
+        head = " ".join(rng.choices(plain_text, k=30)) + " "
+        texts.append(f"{head}{secret} {' '.join(plain_text)}")
+        planted.append(f"entropy:{len(head)}:{len(head) + len(secret)}")
+    texts += [" ".join(rng.choices(plain_text, k=60)) for _ in range(200)]
+    rows = {r["doc_id"]: r for r in secrets.scan(make_docs(texts)).collect()}
+    assert sum(p in rows[i]["spans"].split(",") for i, p in enumerate(planted)) >= 190
+    assert all(rows[i]["n_entropy"] == rows[i]["n_secrets"] == 0 for i in range(200, 400))
+
+
+def plain_entropy_spans(text):
+    """Windows counted afresh, the allow list tried pattern by pattern."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        t, limit = m[0], secrets.Thresholds().of(m[0])
+        most = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(t[i : i + 20]).values()) for i in range(len(t) - 19))
+        if limit is not None and most >= limit - 1e-9 and not any(re.fullmatch(p, t) for p in secrets.ALLOWED):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_query_equals_brute_force(spark, make_docs):
+    rng = random.Random(11)
+    parts = ["token = ", "AKIAIOSFODNN7ABCDEF", " ", "\n", "é", ", ", "deadbeefdeadbeef", "GetUserNameFromHTTPGateway2", "password: "]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.6 else "".join(rng.choices(CLASSES[rng.choice(list(CLASSES))], k=rng.randrange(8, 50))) for _ in range(12)) for _ in range(300)] + [None, "", "k" * 300_000]
+    rows = {r["doc_id"]: r for r in secrets.scan(make_docs(texts)).collect()}
+    for i, text in enumerate(texts):
+        assert rows[i]["spans"] == secrets.listed(plain(text or "") + plain_entropy_spans(text or "")), text
+        assert (rows[i]["n_assign"], rows[i]["n_access"], rows[i]["n_hex"]) == tuple(sum(k == kind for _, k, _ in plain(text or "")) for kind in range(3))
