@@ -6,8 +6,10 @@ random offset per source is added, and a document is emitted once for each integ
 interval crosses.  Ordering by size keeps the words taken within about one document of the target.
 
 Null texts and texts of white space have size 0 and take nothing; they hold places in the order.
-A null source is a source of its own, the last one.  Repeated rows are separate documents.
-Sources are one row each in the tables of targets; documents are never gathered by source.
+A null source is a source of its own, the last one.  Repeated rows are separate documents.  Documents of equal size and id tie:
+any order among them gives the same words.  Whole texts are counted, however long.  Empty tables give no rows.  Extra columns,
+whatever their names, stay in ``mix_documents`` and are left out of ``plan_mix``.  Sources are one row each in the tables of
+targets, which one task puts in order; documents are never gathered by source.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import pieces
+from factloom.llm.common import pieces, unused
 from factloom.plans.scratch import broadcast_below, materialise
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -101,25 +103,16 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it.
 
-    Rows meet their copies by id, so texts are shuffled once.  Rows of a repeated id, if there are any, meet
-    theirs by id and place among the id's rows, so a repeated row never multiplies.
+    Rows meet their copies by id, so texts are shuffled once.  If ids repeat (null ids count as equal), rows are written with a number
+    first, and planned and joined by that.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    plan = plan_mix(docs.select("doc_id", "source", "text"), **options)
-    plan = materialise(plan.select(key.alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")), "copies")
-    repeated = materialise(plan.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"), "repeated")
-    rows = docs.withColumn("_key", key)
+    own, copies, copy = unused(docs.columns, "id", "copies", "copy")
+    rows, key = docs, "doc_id"
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():  # reads ids only
+        key = unused(docs.columns, "row")[0]
+        rows = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "numbered-rows")
+    plan = plan_mix(rows.select(F.col(key).alias("doc_id"), "source", "text"), **options)
+    plan = materialise(plan.filter("copies > 0").select(F.col("doc_id").alias(own), F.col("copies").alias(copies)), "copies")
     # Merged at every size: a small plan would be broadcast and then cost otherwise than a large one.
-    out = rows.join(plan.select("_key", "_copies").hint("merge"), "_key")
-    if repeated.count():
-        few = broadcast_below(repeated, COUNT_ROWS)
-        # Ties are rows of one id, source and size: interchangeable for the plan.
-        nth = F.row_number().over(Window.partitionBy("_key").orderBy("_source", "_size"))
-        words = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))).cast("long")
-        many = rows.join(few, "_key", "left_semi").withColumn("_source", F.col("source").cast("string")).withColumn("_size", words).withColumn("_nth", nth)
-        places = plan.join(few, "_key", "left_semi").withColumn("_nth", nth).select("_key", "_nth", "_copies")
-        single = rows.join(few, "_key", "left_anti").join(plan.join(few, "_key", "left_anti").select("_key", "_copies"), "_key")
-        columns = [*docs.columns, "_copies"]
-        out = single.select(*columns).unionByName(many.join(places, ["_key", "_nth"]).select(*columns))
-    out = out.filter(F.col("_copies") > 0)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    out = rows.join(plan.hint("merge"), rows[key].eqNullSafe(plan[own]))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))

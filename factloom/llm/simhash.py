@@ -12,7 +12,9 @@ plans.components.
 
 Documents with fewer than four words hash their whole word sequence; without words (null texts
 too) the fingerprint is zero and links like any other.  Repeated rows are nodes alike.
-A null doc_id never is a component's id unless all ids in it are null.  Empty tables give no rows.
+A null doc_id never is a component's id unless all ids in it are null; an id "null" is another.  Equal fingerprints tie: all
+their documents have one component.  Whole texts are hashed, however long.  Extra columns, whatever their names, stay in
+``keep_one`` and are left out of ``near_duplicates``.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from factloom.llm.common import LOWER, pieces
+from factloom.llm.common import LOWER, pieces, unused
 from factloom.plans.components import components
 from factloom.plans.scratch import broadcast_below, materialise
 
@@ -147,24 +150,53 @@ def near_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     return pairs.unionByName(dealt.mapInArrow(_links_of_groups, "u long, v long")).distinct()
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of all that links reach)."""
-    prints = materialise(fingerprints(docs), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+def components_of(prints: DataFrame, block: int = BLOCK) -> DataFrame:
+    """fp, component (a fingerprint), component_id (smallest doc_id of all that links reach) from doc_id and fp of all documents."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    # 64 keys are exploded from each of these small rows, so they are dealt to as many tasks as any shuffle has.
+    nodes = materialise(nodes.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"), "nodes")
     roots = components(near_links(nodes, block)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = rooted.join(ids, "component").select("fp", "component_id")
-    return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(ids, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of all that links reach)."""
+    prints = materialise(fingerprints(docs), "fingerprints")
+    return prints.join(components_of(prints, block), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def with_fingerprints(rows: DataFrame, name: str) -> DataFrame:
+    at, names = rows.columns.index("text"), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            found = np.array([fingerprint(t) for t in b.column(at).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], [*names, name])
+
+    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add(name, LongType()))
 
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs`` with one document per component: the one with the smallest id (one of its rows, if repeated)."""
-    found = near_duplicates(docs, block)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key"), "fingerprint").distinct()
-    # A repeated id may have rows in several components: it keeps a row for each fingerprint, so no component is lost.
-    chosen = chosen.groupBy("_key").agg(F.count("*").alias("_n"))
-    kept = docs.withColumn("_key", key).join(chosen, "_key")
-    first = Window.partitionBy("_key").orderBy(F.md5("text").asc_nulls_first())
-    return kept.withColumn("_row", F.row_number().over(first)).filter(F.col("_row") <= F.col("_n")).select(*docs.columns)
+    """``docs`` with one row per component: one of its smallest (doc_id, fingerprint), null ids last.
+
+    Rows of an id that no other row has are found by the id.  Only rows of repeated ids (null ids, if there are several) are
+    fingerprinted again to tell them apart; of those equal in id and fingerprint one stays.
+    """
+    own, fp = unused(docs.columns, "id", "fp")
+    prints = materialise(fingerprints(docs), "fingerprints")
+    found = prints.join(components_of(prints, block).select("fp", "component"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
+    chosen = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias(own), F.col("first.fp").alias(fp))
+    repeated = materialise(prints.groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("n")).filter("n > 1").select(own), "repeated")
+    same_id = lambda other: docs["doc_id"].eqNullSafe(other[own])
+    if repeated.isEmpty():
+        return docs.join(chosen, same_id(chosen), "left_semi")
+    chosen = materialise(chosen, "chosen")
+    single = chosen.join(repeated.withColumnRenamed(own, fp + "_"), F.col(own).eqNullSafe(F.col(fp + "_")), "left_anti")
+    rows = with_fingerprints(docs.join(repeated, same_id(repeated), "left_semi"), fp)
+    chosen = chosen.withColumnRenamed(fp, fp + "_")
+    rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen[own]) & (rows[fp] == chosen[fp + "_"]), "left_semi")
+    rows = rows.groupBy("doc_id", fp).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64("text")).alias(own)).select(f"{own}.*")
+    return docs.join(single, same_id(single), "left_semi").unionByName(rows)

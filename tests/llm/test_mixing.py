@@ -1,7 +1,9 @@
 import hashlib
 import math
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import mixing
 
@@ -75,3 +77,29 @@ def test_repeated_ids_and_empty(spark, make_docs):
     assert mixing.mix_documents(docs).count() == sum(r["copies"] for r in plan)
     assert mixing.plan_mix(make_docs([])).count() == mixing.mix_documents(make_docs([])).count() == 0
     assert mixing.plan_mix(make_docs([None, ""])).agg({"taken": "sum"}).first()[0] == 0
+
+
+def test_repeated_ids_clashing_names_and_long_texts(spark, make_docs):
+    texts = ["w " * 300_000, *(f"{'x ' * (i % 9)}" for i in range(120))]
+    ids = [i // 2 if i < 60 else None for i in range(121)]
+    docs = make_docs(texts, ids=ids).withColumnsRenamed({"size": "_key", "fp": "copies"}).withColumn("Row", F.lit(7))
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    assert all(texts[r["_key"]] == r["text"] and ids[r["_key"]] == r["doc_id"] and (r["copies"], r["Row"]) == ("x", 7) for r in got)
+    times = Counter(r["_key"] for r in got)
+    assert max(times.values()) <= 2
+    rows = [(r["_key"], r["source"], len((r["text"] or "").split())) for r in docs.collect()]
+    sizes = Counter()
+    for _, source, n in rows:
+        sizes[source] += n
+    most = max(n for k, _, n in rows if k)
+    for source, target in fill(sizes).items():
+        taken = sum(times[k] * n for k, s, n in rows if s == source)
+        assert abs(taken - target) <= 2 * (300_000 if source == "a" else most)
+
+
+def test_the_id_null_is_not_a_null_id(spark):
+    rows = [("null", "a b c", "s"), (None, "d e", "s"), ("k", "f", "s")]
+    got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    assert len({tuple(r) for r in got} - set(rows)) == 0

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from factloom.llm import simhash
 
@@ -86,3 +87,24 @@ def test_keep_one(spark, make_docs):
     assert kept.columns == make_docs(texts).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
     assert simhash.keep_one(make_docs([])).count() == 0
+
+
+def test_keep_one_loses_no_component(spark, make_docs):
+    texts, ids = ["aa bb cc dd ee"] * 2 + ["quite another text of words"] + ["one more text all alone"] + ["null"] + ["of no id at all"] * 3 + ["also of no id here"], [1, 1, 1, 2, 3] + [None] * 4
+    docs = make_docs(texts, ids=ids).withColumnsRenamed({"size": "_key", "fp": "id"}).withColumn("FP", F.lit("mine"))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted(r["text"] for r in rows) == sorted(set(texts))
+    assert all(ids[r["_key"]] == r["doc_id"] and texts[r["_key"]] == r["text"] and r["id"] == "x" and r["FP"] == "mine" for r in rows)
+
+
+def test_null_ids_and_the_id_null(spark):
+    rows = [(None, "some words that are first"), ("null", "other words that are second"), (None, "third words of another kind"), ("b", "some words that are first")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted((r["doc_id"] or "", r["text"]) for r in kept.collect()) == sorted([("null", rows[1][1]), ("", rows[2][1]), ("b", rows[3][1])])
+
+
+def test_very_long_text(spark, make_docs):
+    texts = [" ".join(f"w{i % 991}" for i in range(300_000)), "x" * 500_000, "short one"]
+    check(make_docs(texts), texts)
