@@ -6,6 +6,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factloom.plans.scratch import materialise
 
 #: Lower-cases A-Z and nothing else.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -41,3 +45,14 @@ def unused(columns: list[str], *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def with_unique_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells its rows apart: doc_id, or if ids repeat (null ids count as equal) a new column of row numbers.
+
+    Numbered rows are written, so that the numbers stay what they are.
+    """
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():  # reads ids only
+        return docs, "doc_id"
+    (key,) = unused(docs.columns, "row")
+    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "numbered-rows"), key

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import pieces, unused
+from factloom.llm.common import pieces, unused, with_unique_key
 from factloom.plans.scratch import broadcast_below, materialise
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -107,10 +107,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     first, and planned and joined by that.
     """
     own, copies, copy = unused(docs.columns, "id", "copies", "copy")
-    rows, key = docs, "doc_id"
-    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():  # reads ids only
-        key = unused(docs.columns, "row")[0]
-        rows = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "numbered-rows")
+    rows, key = with_unique_key(docs)
     plan = plan_mix(rows.select(F.col(key).alias("doc_id"), "source", "text"), **options)
     plan = materialise(plan.filter("copies > 0").select(F.col("doc_id").alias(own), F.col("copies").alias(copies)), "copies")
     # Merged at every size: a small plan would be broadcast and then cost otherwise than a large one.

@@ -20,8 +20,10 @@ pass the words whose hash is set in a bitmap of fixed size, and the join that fo
 Documents without a copy are their own witness and are counted in the tasks; a term that they
 make too common is done with, and only for the others are the copies' min-hashes shuffled.
 
-A null text is empty.  A null doc_id is an id like any other.  Rows with the same id get all spans
-of terms found for the id that fit each row's own text.  Empty tables give no rows.
+A null text is empty.  A null doc_id is an id like any other.  Rows with the same id are told apart by a row number, and each is
+judged by its own text.  Where a term has verdicts from several values, removal wins.  Spans that start together are listed
+by kind.  Whole texts are searched, however long.  Empty tables give no rows.  Extra columns, whatever their names, stay in
+``sanitise`` and are left out of ``personal_data``.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import pieces, rows_to_batch, sha256_hex
+from factloom.llm.common import pieces, rows_to_batch, sha256_hex, unused, with_unique_key
 from factloom.llm.passages import WordCodes, kmers, word_codes
 from factloom.plans.scratch import materialise
 
@@ -288,17 +290,27 @@ def disclosures(docs: DataFrame, found: DataFrame, rule: Disclosure) -> DataFram
 
 
 def personal_data(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, removed (the spans of terms to remove)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, removed (the spans of terms to remove), n_personal (base spans)."""
+    rows, key = with_unique_key(docs)
+    found = data_of_rows(rows.select(F.col(key).alias("doc_id"), "text"), rule)
+    if key == "doc_id":
+        return found
+    ids = rows.select(F.col(key).alias("number"), F.col("doc_id").alias("id"))
+    return found.join(ids, F.col("doc_id") == F.col("number")).select(F.col("id").alias("doc_id"), *found.columns[1:])
+
+
+def data_of_rows(docs: DataFrame, rule: Disclosure) -> DataFrame:
+    """The same, for different ids."""
     found = scan(docs, rule)
     told = materialise(disclosures(docs, found, rule), "disclosures")
     terms = found.filter(F.col("term").isNotNull()).join(told, ["value", "term"])
     # One row a document and term, the stronger action first; then a bounded list a document (its own spans).
-    per_term = terms.groupBy("doc_id", "term").agg(F.max("action").alias("action"), F.min("base").alias("spans"))
+    per_term = terms.groupBy("doc_id", "term").agg(F.max("action").alias("action"), F.first("base").alias("spans"))
     per_doc = per_term.groupBy("doc_id").agg(F.collect_list(F.struct("spans", "action")).alias("terms")).withColumnRenamed("doc_id", "id")
     base = found.filter(F.col("value").isNull()).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base")
     rows = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
     id_type = docs.schema["doc_id"].dataType
-    names = pa.schema([("base_sha256", pa.string()), ("spans", pa.string()), ("n_term", pa.int64()), ("removed", pa.string())])
+    names = pa.schema([("base_sha256", pa.string()), ("spans", pa.string()), ("n_term", pa.int64()), ("removed", pa.string()), ("n_personal", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,10 +319,10 @@ def personal_data(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame
                 spans = [(int(a), KINDS.index(k), int(z)) for k, a, z in (x.split(":") for x in base.split(",") if x)]
                 own = sorted((int(a), 4, int(z), t["action"]) for t in terms or () for a, z in (x.split(":") for x in t["spans"].split(",")))
                 gone = [x[:3] for x in own if x[3] == "remove"]
-                out.append((sha256_hex(base), listed(spans + [x[:3] for x in own]), len(own), listed(gone)))
+                out.append((sha256_hex(base), listed(spans + [x[:3] for x in own]), len(own), listed(gone), len(spans)))
             yield pa.RecordBatch.from_arrays([*b.columns[:5], *rows_to_batch(out, names).columns], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", *names.names])
 
-    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long, removed string")
+    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long, removed string, n_personal long")
 
 
 def parse(spans: str) -> list[tuple[str, int, int]]:
@@ -335,17 +347,19 @@ def sanitised(text: str, spans: str, removed: str = "") -> str:
 
 
 def sanitise(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
-    """``docs`` with text sanitised.  Repeated ids share their terms' spans; spans past a text's end are ignored."""
-    found = personal_data(docs, rule).groupBy(F.col("doc_id").alias("_id")).agg(F.max("spans").alias("_spans"), F.max("removed").alias("_removed"))
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    at, n = docs.columns.index("text"), len(docs.columns)
+    """``docs`` with text sanitised, a row for a row."""
+    rows, key = with_unique_key(docs)
+    own, spans, removed = unused(rows.columns, "id", "spans", "removed")
+    found = data_of_rows(rows.select(F.col(key).alias("doc_id"), "text"), rule).select(F.col("doc_id").alias(own), F.col("spans").alias(spans), F.col("removed").alias(removed))
+    columns = [rows[f"`{c}`"] for c in docs.columns]
+    rows = rows.join(found, rows[key].eqNullSafe(found[own]), "left").select(*columns, spans, removed)
+    at, n, names = docs.columns.index("text"), len(docs.columns), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             texts = [t and sanitised(t, s or "", r or "") for t, s, r in zip(b.column(at).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
             columns = list(b.columns[:n])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs_names)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    docs_names = docs.columns
     return rows.mapInArrow(run, docs.schema)

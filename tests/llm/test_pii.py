@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -126,3 +127,81 @@ def test_terms_far_from_the_value(spark, make_docs):
     # Documents with the two far apart are in the joint count, so that the term gives everything away.
     shares = {r["term"]: r["share"] for r in pii.disclosures(docs, pii.scan(docs, rule), rule).collect()}
     assert shares["marlow"] == pytest.approx(1.0)
+
+
+def plain_columns(texts, rule=pii.Disclosure()):
+    """spans, n_term, removed of each text, by counting over all texts for each candidate."""
+    codes, base = pii.WordCodes(), [plain(t or "") for t in texts]
+    which = [pii.witness(t or "", codes) for t in texts]
+    values = [{(k, t[a:z].lower()) for a, k, z in own} for t, own in zip((t or "" for t in texts), base)]
+    words = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t or "")] for t in texts]
+    free = lambda i: [w for w in words[i] if len(w[2]) >= rule.min_chars and not any(a <= w[0] < z for a, _, z in base[i])]
+    terms = [{w[2] for w in free(i)} for i in range(len(texts))]
+    near = set()
+    for i, t in enumerate(texts):
+        for a, k, z in base[i]:
+            before = [w[2] for w in words[i] if w[0] < a][-rule.window :]
+            inside = [w[2] for w in words[i] if a <= w[0] < z]
+            after = [w[2] for w in words[i] if w[0] >= z][: rule.window]
+            near |= {((k, t[a:z].lower()), w) for w in {*before, *inside, *after} & terms[i]}
+    total, verdicts = len(set(which)), {}
+    for value, term in near:
+        n_value = len({w for w, v in zip(which, values) if value in v})
+        both = len({w for w, v, t in zip(which, values, terms) if value in v and term in t})
+        n = max(both, len({w for w, own in zip(which, words) if term in {x[2] for x in own}}))
+        information = math.log2(total / n_value)
+        share = math.log2(both / n * total / n_value) / information if information > 0 else 0
+        accident = math.comb(n, both) * math.comb(n_value, both) / math.comb(total, both)
+        if share >= rule.generalise and (both >= rule.support or accident <= rule.chance):
+            verdicts[value, term] = "remove" if share >= rule.remove else "generalise"
+    out = []
+    for i in range(len(texts)):
+        own = [(a, 4, z, max(verdicts[v, w] for v in values[i] if (v, w) in verdicts)) for a, z, w in free(i) if any((v, w) in verdicts for v in values[i])]
+        out.append((pii.listed(base[i] + [x[:3] for x in own]), len(own), pii.listed([x[:3] for x in own if x[3] == "remove"])))
+    return out
+
+
+def planted(rng):
+    """Ten people, each with an own name and address in some documents; common words around them."""
+    common = [f"word{i}" for i in range(60)]
+    people = [(f"Name{i}", f"p{i}@firm{i % 4}.com" if i % 2 else f"+1 (743) 555-38{i:02}") for i in range(10)]
+    texts = []
+    for _ in range(220):
+        body = rng.choices(common, k=rng.randrange(4, 50))
+        if rng.random() < 0.3:
+            name, address = rng.choice(people)
+            body.insert(rng.randrange(len(body)), address)
+            body[rng.randrange(len(body)) : 0] = [name] * (rng.random() < 0.9)
+        body += [f"rare{rng.randrange(300)}"]
+        texts.append(" ".join(body))
+    return texts + texts[:30] + [None, "", " "], people
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_whole_result_equals_brute_force(spark, make_docs, seed):
+    texts, people = planted(random.Random(seed))
+    want = plain_columns(texts)
+    ids = [i if i < 200 else None if i < 210 else i // 2 for i in range(len(texts))]  # null ids and repeated ones
+    docs = make_docs(texts, ids=ids).withColumnRenamed("size", "n_term").withColumnRenamed("fp", "_spans")
+    rows = pii.personal_data(docs).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r["doc_id"], r["spans"], r["n_term"], r["removed"]) for r in rows), key=key) == sorted(((i, *w) for i, w in zip(ids, want)), key=key)
+    # The planted names are terms wherever they stand with their person's address.
+    held = [(name, i) for i, t in enumerate(texts) for name, address in people if t and address in t and name in t.split()]
+    caught = sum(any(texts[i][a:z] == name for k, a, z in pii.parse(want[i][0]) if k == "term") for name, i in held)
+    assert len(held) > 30 and caught >= 0.9 * len(held)
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns
+    got = {r["n_term"]: r for r in clean.collect()}
+    assert all(got[i]["text"] == (t and pii.sanitised(t, want[i][0], want[i][2])) and got[i]["doc_id"] == ids[i] and got[i]["_spans"] == "x" for i, t in enumerate(texts))
+
+
+def test_repeated_ids_leak_nothing(spark, make_docs):
+    docs = make_docs(["write today to xy@zz.org ok", "mail a@b.cd now", "none here"], ids=[1, 1, 1])
+    assert sorted(r["text"] for r in pii.sanitise(docs).collect()) == ["mail [EMAIL] now", "none here", "write today to [EMAIL] ok"]
+
+
+def test_very_long_text(spark, make_docs):
+    text = "word " * 200_000 + "a@b.cd " + "x" * 300_000
+    (row,) = pii.personal_data(make_docs([text])).collect()
+    assert row["n_email"] == row["n_personal"] == 1 and row["spans"].startswith("email:1000000:1000006")
