@@ -47,3 +47,53 @@ def test_documents_follow_a_stored_map(spark, make_docs):
     assert out.columns == [*docs.columns, "virtual_slot", "shard", "map_version"]
     assert all(r["shard"] == r["virtual_slot"] % 3 and r["map_version"] == 9 for r in out.collect())
     assert sharding.shard_documents(out).columns == out.columns
+
+
+def plain_numbers(rows, n_shards):
+    """(doc_id, size, crc, virtual slot) -> the same with shard and place, by walking through the slots."""
+    slots = {}
+    for r in rows:
+        slots.setdefault(r[3], []).append(r)
+    loads, shard_of = [0] * n_shards, {}
+    for slot in sorted(range(sharding.SLOTS), key=lambda s: (-sum(r[1] for r in slots.get(s, ())), s)):
+        shard_of[slot] = min(range(n_shards), key=lambda s: (loads[s], s))
+        loads[shard_of[slot]] += sum(r[1] for r in slots.get(slot, ()))
+    out, places = [], [0] * n_shards
+    for slot in sorted(slots):
+        shard = shard_of[slot]
+        for r in sorted(slots[slot], key=lambda r: (r[0] is not None, *r)):
+            out.append((*r, shard, places[shard]))
+            places[shard] += 1
+    return out
+
+
+def test_whole_result_equals_brute_force(spark, make_docs):
+    texts = [f"text {i % 300} " * (i % 40) for i in range(900)] + [None, "", "é"] + ["copy"] * 500 + ["x" * 300_000]
+    ids = [i if i < 700 else None if i < 1300 else 5 for i in range(len(texts))]
+    rows = [tuple(r) for r in sharding.shard_numbers(make_docs(texts, ids=ids)).collect()]
+    key = lambda r: (r[0] is not None, *r)
+    got = sorted(((i, size, crc, slot, shard, place) for i, size, crc, _, shard, place, _, slot in rows), key=key)
+    assert got == sorted(plain_numbers([r[:4] for r in got], 16), key=key)
+    assert sorted(((i, size, crc) for i, size, crc, *_ in got), key=key) == sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in zip(ids, texts)), key=key)
+
+
+def test_repeated_rows_are_spread(spark, make_docs):
+    docs = make_docs(["one text"] * 2500, ids=[None] * 2500)
+    for rows in (sharding.shard_numbers(docs), sharding.shard_documents(docs)):
+        counts = [r["count"] for r in rows.groupBy("shard").count().collect()]
+        assert len(counts) == 16 and max(counts) - min(counts) <= 8
+    assert sharding.shard_documents(docs).columns == [*docs.columns, "virtual_slot", "shard", "map_version"]
+
+
+def test_a_stored_map_is_edited(spark, make_docs, tmp_path):
+    path = str(tmp_path / "map")
+    docs = make_docs([f"text {i} " * (i % 30) for i in range(2000)])
+    where = lambda df: {r["doc_id"]: (r["virtual_slot"], r["shard"]) for r in df.collect()}
+    one, two = where(sharding.shard_documents(docs, 4, 256, map_path=path)), where(sharding.shard_documents(docs, 4, 256, map_path=path))
+    assert one == two and sharding.latest(spark, path).version == 1
+    grown = sharding.shard_documents(docs, 5, map_path=path)
+    three = where(grown)
+    assert {r["map_version"] for r in grown.collect()} == {2} == {sharding.latest(spark, path).version}
+    assert all(one[i][0] == three[i][0] for i in one)  # records are never hashed again
+    moved = [i for i in one if one[i] != three[i]]
+    assert {three[i][1] for i in moved} == {4} and 0.1 < len(moved) / len(one) < 0.3
