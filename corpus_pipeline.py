@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and gets what the stage before it kept, r
 Documents that the quality rules reject go, near-duplicate groups shrink to one document, documents
 with benchmark passages go, sources are mixed by repeating or leaving out documents, and what is
 left is dealt into shards.
+
+All stages take null ids, texts, languages and sources, repeated rows and ids, very long texts, empty tables and extra columns of any
+name: a null text fails the quality rules; repeated rows are near-duplicates; ids tell nothing but which document of a group stays
+(the smallest, null last) and which labels a document has; extra columns stay.  Only the last stage adds columns (virtual_slot, shard,
+map_version), in place of any that are called so.
+
+The slot map is made anew, unless spark.factloom.slotMap names a folder where it is kept: then the latest version is rebalanced
+and, if that moves slots, stored as the next.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(docs)
+    return sharding.shard_documents(docs, map_path=spark.conf.get("spark.factloom.slotMap", None))
 
 
 STAGES = [
