@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +85,12 @@ def with_embeddings(df: DataFrame, keys: list[str], text: str, dim: int = 256, n
     """``df`` with an embedding for each row, zeros where there is none.  Keys identify rows."""
     out = df.join(hashed_embeddings(df, keys, text, dim, name), keys, "left")
     return out.withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0.0), dim)))
+
+
+#: (rows, key columns, text column, name) -> rows with a vector called ``name``.
+Embedder = Callable[[DataFrame, list[str], str, str], DataFrame]
+
+
+def hashed(dim: int = 256) -> Embedder:
+    """The embedder that needs no model: hashed trigrams."""
+    return lambda df, keys, text, name: with_embeddings(df, keys, text, dim, name)

@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import lexical_overlap, word_set, words
+from factloom.functions.text import word_set, words
 from factloom.functions.vectors import cosine
 from factloom.plans.components import components
 from factloom.plans.scratch import materialise
 
 
-def prefix_pairs(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """a, b (a < b), overlap: all pairs whose word sets overlap by ``threshold`` or more.
+def prefix_pairs(rows: DataFrame, key: str, text: str, threshold: float, within: str | None = None) -> DataFrame:
+    """a, b (a < b), overlap: all pairs whose word sets overlap by ``threshold`` or more, of rows equal in ``within`` if that is given.
 
     Prefix filtering: with words ordered from rare to frequent, such a pair shares a word among the first
     n - ceil(threshold * n) + 1 of each, so only those are joined.  Equal word sets are paired through
     their smallest key, not with each other, which keeps copies linear.
     """
-    docs = materialise(rows.select(F.col(key).alias("id"), F.array_sort(word_set(text)).alias("w")).filter(F.size("w") > 0), "sets")
-    reps = materialise(docs.groupBy("w").agg(F.min("id").alias("id")).select("id", "w"), "reps")
-    copies = docs.select(F.col("id").alias("b"), "w").join(reps.select(F.col("id").alias("a"), "w"), "w").filter("a <> b").select("a", "b", F.lit(1.0).alias("overlap"))
-    token = reps.select("id", F.explode("w").alias("t"))
+    group = F.lit("") if within is None else F.coalesce(F.col(within).cast("string"), F.lit(""))
+    docs = materialise(rows.select(F.col(key).alias("id"), group.alias("g"), F.array_sort(word_set(text)).alias("w")).filter(F.size("w") > 0), "sets")
+    reps = materialise(docs.groupBy("g", "w").agg(F.min("id").alias("id")).select("id", "g", "w"), "reps")
+    copies = docs.select(F.col("id").alias("b"), "g", "w").join(reps.select(F.col("id").alias("a"), "g", "w"), ["g", "w"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("overlap"))
+    token = reps.select("id", F.explode(F.transform("w", lambda t: F.struct("g", t.alias("t")))).alias("t"))
     rare = token.join(token.groupBy("t").agg(F.count("*").alias("n")), "t")
     order = Window.partitionBy("id").orderBy("n", "t")
     ranked = rare.withColumn("r", F.row_number().over(order)).withColumn("size", F.count("*").over(Window.partitionBy("id")))
@@ -44,16 +47,18 @@ def alias_groups(entities: DataFrame, threshold: float = 0.6) -> DataFrame:
     return entities.select("entity_id").join(found, "entity_id", "left").select("entity_id", F.coalesce("component", "entity_id").alias("group"))
 
 
-def similar_vectors(rows: DataFrame, key: str, vector: str, threshold: float = 0.85, tables: int = 24, bits: int = 8, seed: int = 17) -> DataFrame:
-    """a, b (a < b), cosine: pairs at ``threshold`` or more that share a bucket of random hyperplanes in one of ``tables``.
+def similar_vectors(rows: DataFrame, key: str, vector: str, threshold: float = 0.85, missed: float = 0.005, seed: int = 17) -> DataFrame:
+    """a, b (a < b), cosine: pairs at ``threshold`` or more that share a bucket of random hyperplanes in one of several tables.
 
-    At 0.85 a pair shares one bit with probability 0.82 and one of 24 tables of 8 bits with 0.995; every pair
-    returned is verified.
+    Buckets of unrelated vectors stay small, as their bits grow with the log of the number of vectors.  A pair at the threshold
+    shares one bit with probability 1 - angle / pi; there are as many tables as let a share of ``missed`` of such pairs
+    meet in none.  Every pair returned is verified.
     """
-    size = rows.select(F.size(vector).alias("n")).first()
-    if size is None:
+    count, n = rows.agg(F.count("*"), F.max(F.size(vector))).first()
+    if not count:
         return rows.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("cosine"))
-    n = size["n"]
+    bits = max(8, math.ceil(math.log2(count)) - 4)
+    tables = math.ceil(math.log(missed) / math.log1p(-((1 - math.acos(threshold) / math.pi) ** bits)))
     # Planes come from hashes, so every task draws the same ones: +1 or -1 for each dimension.
     sign = lambda t, i: F.when(F.pmod(F.xxhash64(F.lit(seed), t, i), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     planes = F.transform(F.sequence(F.lit(0), F.lit(tables * bits - 1)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: sign(t, i)))
@@ -70,13 +75,7 @@ def similar_vectors(rows: DataFrame, key: str, vector: str, threshold: float = 0
 def near_duplicate_triples(triples: DataFrame, threshold: float = 0.7) -> DataFrame:
     """a, b, overlap: facts with one relation whose "head tail evidence" words overlap by ``threshold`` or more."""
     text = triples.withColumn("_t", F.concat_ws(" ", "head_id", "tail_id", "evidence"))
-    pairs = prefix_pairs(text, "triple_id", "_t", threshold)
-    rel = triples.select(F.col("triple_id").alias("a"), F.col("relation_id").alias("_r"))
-    return pairs.join(rel, "a").join(triples.select(F.col("triple_id").alias("b"), F.col("relation_id").alias("_s")), "b").filter("_r = _s").select("a", "b", "overlap")
-
-
-def overlap_of(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    return pairs.withColumn("overlap", lexical_overlap(left, right))
+    return prefix_pairs(text, "triple_id", "_t", threshold, within="relation_id")
 
 
 def multiset_jaccard_of(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:

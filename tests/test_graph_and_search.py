@@ -107,8 +107,11 @@ def test_edgeless_and_components_and_fallback(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("x", "y", 1), ("z", "z", 1)], "src string, dst string, weight long")
     got = [r["members"] for r in communities.detect(edges, nodes, 0, 1).orderBy("ord").collect()]
     assert got == [["a", "b", "c"], ["x", "y"], ["z"]]
-    cut = communities.detect(edges, nodes, 0, 1, max_edges=1)
-    assert sorted(x for r in cut.collect() for x in r["members"]) == ["a", "b", "c", "x", "y", "z"]
+    with pytest.raises(ValueError, match="louvain"):
+        communities.greedy(edges.select("src", "dst"), max_edges=1)
+    for detector in (communities.labels, communities.louvain):
+        got = [r["members"] for r in communities.detect(edges, nodes, 0, 1, detector).orderBy("ord").collect()]
+        assert got == [["a", "b", "c"], ["x", "y"], ["z"]]
     for bad in ({"levels": 0}, {"parent_blend": 2}, {"dim": 8}):
         with pytest.raises(ValueError):
             communities.HierarchySettings(**bad)
@@ -116,6 +119,42 @@ def test_edgeless_and_components_and_fallback(spark):
         retrieval.SearchSettings(k=0)
 
 
+def test_louvain_is_as_good_as_greedy_merging(spark):
+    rng = random.Random(5)
+    block = lambda i: f"n{i:02}"
+    pairs = {tuple(sorted((block(a), block(b)))) for a in range(60) for b in range(a) if rng.random() < (0.5 if a // 12 == b // 12 else 0.02)}
+    pairs |= {("hub", f"leaf{i}") for i in range(30)} | {("hub", "n00")}
+    edges = spark.createDataFrame(sorted(pairs), "src string, dst string").withColumn("weight", F.lit(1))
+    value = lambda detector: graph.modularity(edges, detector(edges.select("src", "dst"))).first()[0]
+    good = value(communities.louvain)
+    assert good >= 0.98 * value(communities.greedy) and good > 0.5
+    found = {r["node"]: r["community"] for r in communities.louvain(edges.select("src", "dst")).collect()}
+    assert len(found) == 91 and len({found["hub"], *(found[f"leaf{i}"] for i in range(30))}) == 1
+
+
+def test_search_with_other_parts(spark, plant):
+    """An expander, an own embedder and summariser, and an index that embeds only what a search meets."""
+    entities, facts = plant
+    tree = communities.hierarchy(graph.entity_graph(facts, entities), entities.select(F.col("entity_id").alias("node")), detector=communities.louvain)
+    noted = communities.annotated(tree, entities, facts, summariser=lambda names, evidence: F.array_join(names, " and "))
+    assert all(" and " in r["summary"] for r in noted.collect())
+    asked = spark.createDataFrame([(1, "cache")], "query_id long, raw_query string")
+    score = lambda found: [(r["query_id"], r["triple_id"], r["score"]) for r in found["triples"].orderBy("rank").collect()]
+    stored, lazy = retrieval.build_index(noted, entities, facts), retrieval.build_index(noted, entities, facts, stored=False)
+    assert score(retrieval.search(stored, asked)) == score(retrieval.search(lazy, asked))
+    wider = retrieval.search(lazy, asked, expander=lambda q: F.array(q, F.lit("database reads")))
+    assert score(wider) != score(retrieval.search(lazy, asked)) and {t for _, t, _ in score(wider)} & {"t_3", "t_4", "t_5"}
+    count = lambda df, keys, text, name: df.withColumn(name, F.array(F.length(text).cast("double"), F.lit(1.0)))
+    own = retrieval.build_index(communities.annotated(tree, entities, facts, embedder=count), entities, facts, embedder=count, stored=False)
+    assert len(score(retrieval.search(own, asked))) == 3
+
+
+def test_near_duplicates_stay_within_a_relation(spark):
+    rows = [("A", "r1"), ("B", "r2"), ("C", "r2")]
+    facts = spark.createDataFrame([(i, "h", r, "t", "one two three four five") for i, r in rows], "triple_id string, head_id string, relation_id string, tail_id string, evidence string")
+    assert [(r["a"], r["b"]) for r in alignment.near_duplicate_triples(facts).collect()] == [("B", "C")]
+
+
 def test_graph_tables(spark, plant):
     entities, facts = plant
     few = spark.createDataFrame([("e_db1",)], "entity_id string")
