@@ -1,7 +1,7 @@
 """DuckDB SQL for the library's queries.
 
-Queries without an entry can't be put in SQL: greedy merging (greedy_communities, community_hierarchy), hashed search
-(beam_search, beam_reports, beam_traces) and random hyperplanes (similar_vectors); tests check those against brute force.
+Queries without an entry can't be put in SQL: greedy merging (greedy_communities, community_hierarchy) and Louvain's method
+(louvain_communities); tests check those against brute force.
 """
 
 from __future__ import annotations
@@ -187,7 +187,6 @@ SELECT triple_id, relation_id FROM w WHERE CASE relation_id WHEN 'rel_in' THEN h
 # Graphs and communities
 
 EDGES = f"{FACTS}, {SUPPLIES}, e AS (SELECT least(head_id, tail_id) AS src, greatest(head_id, tail_id) AS dst, count(*) AS weight FROM fs GROUP BY 1, 2)"
-SMALL = f"{FACTS}, e AS (SELECT least(head_id, tail_id) AS src, greatest(head_id, tail_id) AS dst, count(*) AS weight FROM f GROUP BY 1, 2)"
 MEMBERS = """
 mb AS (SELECT head_id AS node, tail_id AS community FROM f WHERE relation_id = 'rel_in' UNION SELECT tail_id, tail_id FROM f WHERE relation_id = 'rel_in'
   UNION ALL SELECT a.head_id, b.tail_id FROM f a JOIN f b ON a.tail_id = b.head_id WHERE a.relation_id = 'rel_based' AND b.relation_id = 'rel_in' UNION ALL SELECT 'par_' || p_partkey, 'size_' || (p_size % 5) FROM part)"""
@@ -196,9 +195,11 @@ SQL["contracted_graph"] = f"WITH {EDGES}, {MEMBERS} SELECT least(a.community, b.
 SQL["modularity"] = f"""WITH {EDGES}, {MEMBERS}, x AS (SELECT a.community AS ca, b.community AS cb FROM e JOIN mb a ON a.node = src JOIN mb b ON b.node = dst), m AS (SELECT count(*)::DOUBLE AS m FROM x),
 c AS (SELECT c, sum(i) AS i, count(*) AS d FROM (SELECT ca AS c, (ca = cb)::INT AS i FROM x UNION ALL SELECT cb, (ca = cb)::INT FROM x) GROUP BY c) SELECT round(sum(i / (2 * m) - pow(d / (2 * m), 2)), 6) AS modularity FROM c, m"""
 SQL["node_degrees"] = f"WITH {EDGES} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node"
-SQL["connected_components"] = f"""WITH RECURSIVE {SMALL}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT DISTINCT src AS node FROM b), top AS (SELECT node AS start FROM n WHERE node LIKE 'reg%'),
-r(start, node) AS (SELECT start, start FROM top UNION SELECT r.start, b.dst FROM r JOIN b ON r.node = b.src) SELECT node, min(node) OVER (PARTITION BY start) AS component FROM r"""
-SQL["nodes_within_two_hops"] = f"""WITH {SMALL}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT 'reg_' || r_regionkey AS start FROM region),
+SQL["connected_components"] = f"""WITH RECURSIVE {EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT DISTINCT src AS node FROM b),
+r(start, node) AS (SELECT node, node FROM n WHERE node LIKE 'reg%' UNION SELECT r.start, b.dst FROM r JOIN b ON r.node = b.src),
+l AS (SELECT a.start AS x, b.start AS y FROM r a JOIN r b ON a.node = b.node GROUP BY 1, 2), g(x, y) AS (SELECT x, y FROM l UNION SELECT g.x, l.y FROM g JOIN l ON g.y = l.x), t AS (SELECT x AS start, min(y) AS top FROM g GROUP BY x)
+SELECT DISTINCT node, min(node) OVER (PARTITION BY top) AS component FROM r JOIN t ON r.start = t.start"""
+SQL["nodes_within_two_hops"] = f"""WITH {EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT 'reg_' || r_regionkey AS start FROM region),
 h AS (SELECT start, start AS node, 0 AS d FROM s UNION ALL SELECT start, dst, 1 FROM s JOIN b ON start = src UNION ALL SELECT start, c.dst, 2 FROM s JOIN b ON start = b.src JOIN b c ON b.dst = c.src)
 SELECT start, node, min(d)::BIGINT AS distance FROM h GROUP BY start, node"""
 SQL["incident_triples"] = f"WITH {FACTS}, {SUPPLIES} SELECT head_id || ':' || relation_id || ':' || tail_id AS triple_id FROM fs WHERE head_id LIKE 'nat%' OR tail_id LIKE 'nat%'"
@@ -230,3 +231,57 @@ x AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w))::DOUBLE / len(l
 SELECT a, b, round(o, 6) AS overlap FROM x WHERE o >= 0.8 UNION ALL SELECT k.id, w.id, 1.0::DOUBLE FROM w JOIN k ON w.w = k.w WHERE w.id <> k.id"""
 SQL["alias_groups"] = "WITH p AS (SELECT 'p' || p_partkey AS entity_id, p_name FROM part) SELECT entity_id, min(entity_id) OVER (PARTITION BY p_name) AS \"group\" FROM p"
 SQL["event_histogram"] = "SELECT event_type, count(value) AS count, round(sum(value), 2) AS total, count(*) FILTER (value <= 1) AS le_0, count(*) FILTER (value <= 5) AS le_1, count(*) FILTER (value <= 10) AS le_2, count(*) FILTER (value <= 50) AS le_3 FROM events GROUP BY event_type"
+SQL["near_duplicate_facts"] = f"""WITH {FACTS}, {pool("f")}, w AS (SELECT triple_id AS id, relation_id AS g, list_sort(list_distinct({words("head_id || ' ' || tail_id || ' ' || evidence")})) AS w FROM t),
+k AS (SELECT g, w, min(id) AS id FROM w GROUP BY g, w), x AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS o FROM k a JOIN k b ON a.g = b.g AND a.id < b.id)
+SELECT a, b, round(o, 6) AS overlap FROM x WHERE o >= 0.7 UNION ALL SELECT k.id, w.id, 1.0::DOUBLE FROM w JOIN k ON w.w = k.w AND w.g = k.g WHERE w.id <> k.id"""
+SQL["similar_vectors"] = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT vec_id, v FROM e
+  UNION ALL SELECT -a.vec_id - 1, list_transform(range(1, len(a.v) + 1), lambda i: 0.9::DOUBLE * a.v[i] + 0.3::DOUBLE * b.v[i]) FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM x a JOIN x b ON a.vec_id < b.vec_id) SELECT a, b, round(c, 6) AS cosine FROM c WHERE c >= 0.85"""
+
+# Beam search: trigram vectors as rows (key, bucket, weight), each stage's best by window.
+
+
+def lexical(a: str, b: str) -> str:
+    x, y = f"list_distinct({words(a)})", f"list_distinct({words(b)})"
+    return f"(CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({x}, {y}))::DOUBLE / len(list_distinct(list_concat({x}, {y}))) END)"
+
+
+def embedded(name: str, source: str) -> str:
+    """CTEs that end in ``name`` (k, b, w): unit vectors of the rows (k, s) of ``source``."""
+    return f"""{name}_p AS (SELECT k, '  ' || lower(s) || '  ' AS s FROM {source} WHERE s <> ''), {name}_g AS (SELECT k, substr(s, i, 3) AS tri FROM (SELECT k, s, unnest(range(1, length(s) - 1)) AS i FROM {name}_p)),
+{name}_h AS (SELECT k, sha256(tri) AS h FROM {name}_g), {name}_w AS (SELECT k, ('0x' || substr(h, 1, 8))::BIGINT % 256 AS b, sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS w FROM {name}_h GROUP BY 1, 2),
+{name} AS (SELECT k, b, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM {name}_w WHERE w <> 0)"""
+
+
+def scored(name: str, rows: str, vectors: str) -> str:
+    """CTEs that end in ``name``: ``rows`` (query_id, k, s, prior, ...) with their score."""
+    return f"""{name}_c AS (SELECT r.query_id, r.k, sum(q.w * v.w) AS c FROM {rows} r JOIN qv q ON q.k = r.query_id JOIN {vectors} v ON v.k = r.k AND v.b = q.b GROUP BY 1, 2),
+{name} AS (SELECT r.*, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.6::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(c, 0.0::DOUBLE))) + 0.4::DOUBLE * {lexical("qs.s", "r.s")})) + 0.5::DOUBLE * prior)), 9) AS score
+  FROM {rows} r JOIN qs ON qs.k = r.query_id LEFT JOIN {name}_c c ON c.query_id = r.query_id AND c.k = r.k)"""
+
+
+def best(name: str, rows: str, order: str) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {order}) AS rank FROM {rows}) WHERE rank <= 3)"
+
+
+BEAM = f"""{FACTS}, {SUPPLIES}, {GIVEN}, {ENTITIES},
+su0 AS (SELECT community_id, string_agg(name, ', ' ORDER BY entity_id) AS names, min(entity_id) AS first FROM cm GROUP BY community_id),
+su AS (SELECT community_id AS k, substr(substr(names, 1, 280) || '. ' || head_name || ' ' || relation_name || ' ' || tail_name, 1, 280) AS s FROM su0 JOIN f ON f.head_id = first),
+co AS (SELECT DISTINCT community_id, level, parent_id, substr(community_id, 5)::INTEGER AS ord FROM cm),
+qs AS (SELECT n_nationkey::BIGINT AS k, 'who is based in ' || n_name AS s FROM nation), {embedded("qv", "qs")}, {embedded("sv", "su")},
+cx AS (SELECT community_id AS k, b, sum(w) AS w FROM (SELECT community_id, b, w * 0.6::DOUBLE AS w FROM co JOIN sv ON sv.k = parent_id UNION ALL SELECT community_id, b, w * CASE WHEN parent_id IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END FROM co JOIN sv ON sv.k = community_id) GROUP BY 1, 2),
+cv AS (SELECT k, b, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM cx),
+r1 AS (SELECT qs.k AS query_id, community_id AS k, su.s, ord, parent_id, 0.5::DOUBLE AS prior FROM qs, co JOIN su ON su.k = community_id WHERE level = 1), {scored("s1", "r1", "cv")}, {best("b1", "s1", "ord")},
+r2 AS (SELECT b1.query_id, co.community_id AS k, su.s, co.ord, co.parent_id, b1.score AS prior, b1.rank AS up FROM b1 JOIN co ON co.parent_id = b1.k JOIN su ON su.k = co.community_id), {scored("s2", "r2", "cv")}, {best("b2", "s2", "up, ord")},
+r3a AS (SELECT b2.query_id, ba.entity_id AS k, ba.name AS s, b2.score AS prior, row_number() OVER (PARTITION BY b2.query_id ORDER BY b2.rank, ba.entity_id) AS ord FROM b2 JOIN ba ON ba.nation = b2.k),
+r3 AS (SELECT * FROM r3a WHERE ord <= 200), x3 AS (SELECT DISTINCT k, s FROM r3), {embedded("ev", "x3")}, {scored("s3", "r3", "ev")}, {best("b3", "s3", "ord")},
+v AS (SELECT head_id || ':' || relation_id || ':' || tail_id AS k, head_id, relation_id, tail_id, head_name || ' ' || relation_name || ' ' || tail_name AS s, ord FROM fs),
+r4a AS (SELECT r3.query_id, v.k, v.s, v.ord, head_id, relation_id, tail_id, max(prior) AS p, count(*) AS found FROM (SELECT k, s, ord, head_id, relation_id, tail_id, unnest([head_id, tail_id]) AS e FROM v) v JOIN r3 ON r3.k = v.e GROUP BY 1, 2, 3, 4, 5, 6, 7),
+r4b AS (SELECT query_id, k, s, ord, head_id, relation_id, tail_id, CASE WHEN found < 2 THEN greatest(p, 0.3::DOUBLE) ELSE p END AS prior, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS n FROM r4a),
+r4 AS (SELECT * FROM r4b WHERE n <= 300), x4 AS (SELECT DISTINCT k, s FROM r4), {embedded("tv", "x4")}, {scored("s4", "r4", "tv")}, {best("b4", "s4", "ord")},
+hit AS (SELECT query_id, 1 AS stage, 'community' AS kind, k AS item_id, score, rank, k AS route, s AS label FROM b1 UNION ALL SELECT query_id, 2, 'community', k, score, rank, parent_id || '/' || k, s FROM b2
+  UNION ALL SELECT query_id, 3, 'entity', k, score, rank, k, s FROM b3 UNION ALL SELECT query_id, 3, 'triple', k, score, rank, k, '(' || head_id || ', ' || relation_id || ', ' || tail_id || ') ' || s FROM b4)"""
+SQL["beam_search"] = f"WITH {BEAM} SELECT query_id, stage, kind, item_id, round(score, 6) AS score, rank::INTEGER AS rank, route FROM hit"
+SQL["beam_traces"] = f"WITH {BEAM} SELECT query_id, stage, kind, string_agg(item_id, '|' ORDER BY rank) AS kept, round(sum(round(score, 3)), 6) AS score_sum FROM hit GROUP BY query_id, stage, kind"
+SQL["beam_reports"] = f"""WITH {BEAM}, l AS (SELECT query_id, CASE kind WHEN 'community' THEN stage WHEN 'entity' THEN 3 ELSE 4 END AS o, rank, printf('%s %.3f %s', kind, score, label) AS line FROM hit)
+SELECT l.query_id, 'Query: ' || any_value(qs.s) || chr(10) || string_agg(line, chr(10) ORDER BY o, rank, line) AS report FROM l JOIN qs ON qs.k = l.query_id GROUP BY l.query_id"""

@@ -123,7 +123,11 @@ def vector_blend(spark, sf_dir):
 
 @query
 def similar_vectors(spark, sf_dir):
-    found = alignment.similar_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    """All vectors, and a copy of each that leans towards the next one."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    copies = e.join(after, "vec_id").select((-F.col("vec_id") - 1).alias("vec_id"), F.zip_with("embedding", "b", lambda x, y: 0.9 * x + 0.3 * y).alias("embedding"))
+    found = alignment.similar_vectors(e.unionByName(copies), "vec_id", "embedding")
     return found.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
@@ -364,14 +368,13 @@ def node_degrees(spark, sf_dir):
 
 @query
 def connected_components(spark, sf_dir):
-    edges = _edges(spark, sf_dir, supplies=False)
-    return graph.connected(edges)
+    return graph.connected(_edges(spark, sf_dir))
 
 
 @query
 def nodes_within_two_hops(spark, sf_dir):
     starts = table(spark, sf_dir, "region").select(F.concat(F.lit("reg_"), F.col("r_regionkey").cast("string")).alias("node"))
-    return graph.neighbours_within(_edges(spark, sf_dir, supplies=False), starts, 2).select("start", "node", F.col("distance").cast("long").alias("distance"))
+    return graph.neighbours_within(_edges(spark, sf_dir), starts, 2).select("start", "node", F.col("distance").cast("long").alias("distance"))
 
 
 @query
@@ -402,7 +405,7 @@ def _given_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def community_summaries(spark, sf_dir):
-    return communities.summaries(_given_hierarchy(spark, sf_dir), abox.entities(spark, sf_dir), abox.verified(spark, sf_dir))
+    return communities.summaries(_given_hierarchy(spark, sf_dir), abox.entities(spark, sf_dir), abox.verified(spark, sf_dir, True))
 
 
 @query
@@ -422,6 +425,14 @@ def greedy_communities(spark, sf_dir):
     return found.select("community_id", "ord", F.size("members").alias("size"))
 
 
+@query
+def louvain_communities(spark, sf_dir):
+    """Over all facts, parts with their suppliers too."""
+    e = abox.entities(spark, sf_dir).select(F.col("entity_id").alias("node"))
+    found = communities.detect(_edges(spark, sf_dir), e, 0, detector=communities.louvain)
+    return found.select("community_id", "ord", F.size("members").alias("size"))
+
+
 @query
 def community_hierarchy(spark, sf_dir):
     e = abox.entities(spark, sf_dir).select(F.col("entity_id").alias("node"))
@@ -438,14 +449,14 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> retrieval.SearchIndex:
-    e, t = abox.entities(spark, sf_dir), abox.verified(spark, sf_dir)
-    return retrieval.build_index(communities.annotated(_given_hierarchy(spark, sf_dir), e, t), e, t)
+    e, t = abox.entities(spark, sf_dir), abox.verified(spark, sf_dir, True)
+    return retrieval.build_index(communities.annotated(_given_hierarchy(spark, sf_dir), e, t), e, t, stored=False)
 
 
 @query
 def beam_search(spark, sf_dir):
     found = retrieval.search(_index(spark, sf_dir), _questions(spark, sf_dir))
-    return retrieval.hits_table(found).select("query_id", "stage", "kind", "item_id", F.round("score", 6).alias("score"), "rank", "explanation")
+    return retrieval.hits_table(found).select("query_id", "stage", "kind", "item_id", F.round("score", 6).alias("score"), "rank", F.array_join("path", "/").alias("route"))
 
 
 @query
@@ -456,7 +467,8 @@ def beam_reports(spark, sf_dir):
 
 @query
 def beam_traces(spark, sf_dir):
-    return retrieval.beam_trace(retrieval.search(_index(spark, sf_dir), _questions(spark, sf_dir)))
+    rows = retrieval.beam_trace(retrieval.search(_index(spark, sf_dir), _questions(spark, sf_dir)))
+    return rows.select("query_id", "stage", "kind", F.array_join("kept", "|").alias("kept"), F.round(F.aggregate("scores", F.lit(0.0), lambda s, x: s + x), 6).alias("score_sum"))
 
 
 @query
