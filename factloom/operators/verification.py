@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import best_window_ratio, multiset_jaccard, name_match, span_conciseness, surface_similarity
 from factloom.plans.scratch import materialise
+from factloom.schemas import LEVELS
 
 
 def _sum_to_one(weights: tuple[float, ...], what: str) -> None:
@@ -192,3 +193,26 @@ def evidential_check(scored: DataFrame, eb: float = 0.55, ec: float = 0.30, comb
     """Scored facts above three floors, with at most ``spans`` supporting spans each."""
     rows = scored.withColumn("combined", combined_evidence("eb_total", "ec_total")).filter((F.col("eb_total") >= eb) & (F.col("ec_total") >= ec) & (F.col("combined") >= combined))
     return rows.withColumn("supporting_spans", F.slice("supporting_spans", 1, spans)) if "supporting_spans" in scored.columns else rows
+
+
+def tier_cascade(scored: DataFrame, entities: DataFrame, relations: DataFrame, ancestry: DataFrame, levels: tuple[str, ...] = LEVELS, **floors) -> DataFrame:
+    """``scored`` with tier_levels (those passed, in order), accepted, level_reached and rejected_reason (the level that failed).
+
+    Each level sees only what the one before left; rows need triple_id, and eb_total and ec_total for the evidential level.
+    """
+    checks = {
+        "syntactic": syntactic_check,
+        "semantic": lambda rows: semantic_check(rows, entities, relations, ancestry),
+        "evidential": lambda rows: evidential_check(rows, **floors),
+    }
+    unknown = set(levels) - set(checks)
+    if unknown:
+        raise ValueError(f"unknown levels: {sorted(unknown)}")
+    out, left = scored.withColumn("tier_levels", F.array().cast("array<string>")), scored
+    for level in levels:
+        left = checks[level](left)
+        passed = left.select("triple_id", F.lit(level).alias("_l")).distinct()
+        out = out.join(passed, "triple_id", "left").withColumn("tier_levels", F.when(F.col("_l").isNull(), F.col("tier_levels")).otherwise(F.concat("tier_levels", F.array("_l")))).drop("_l")
+    n = F.size("tier_levels")
+    failed = F.get(F.array(*map(F.lit, levels)), n)
+    return out.withColumn("accepted", n == len(levels)).withColumn("level_reached", F.get("tier_levels", n - 1)).withColumn("rejected_reason", failed)

@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("classes", "relations", "entities", "triples", "communities")
-FORMATS = ("parquet", "node_link", "graphml")
+META, META_FOLDER = "saved long, version int, folder string, tables string", "versions"
+FORMATS = ("parquet", "node_link", "graphml", "gexf")
 
 
 def save_snapshot(tables: dict[str, DataFrame], path: str, version: int = 1) -> None:
-    """One Parquet folder per table, and _meta with the version last: a snapshot without it is incomplete."""
+    """A new folder of Parquet tables, and then the row that names it: readers see the snapshot before until all tables are whole."""
     unknown = set(tables) - set(TABLES)
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
+    spark, folder, now = next(iter(tables.values())).sparkSession, f"v{version}-{uuid.uuid4().hex}", time.time_ns()
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version, ",".join(sorted(tables)))], "version int, tables string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_meta_v")
+        df.write.parquet(f"{path}/{folder}/{name}")
+    spark.createDataFrame([(now, version, folder, ",".join(sorted(tables)))], META).coalesce(1).write.mode("append").parquet(f"{path}/{META_FOLDER}")
 
 
-def load_snapshot(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], int]:
-    meta = spark.read.parquet(f"{path}/_meta_v").first()
-    return {t: spark.read.parquet(f"{path}/{t}") for t in meta["tables"].split(",") if t}, meta["version"]
+def load_snapshot(spark: SparkSession, path: str, version: int | None = None) -> tuple[dict[str, DataFrame], int]:
+    """The last snapshot saved, or the last of the given version."""
+    rows = spark.read.schema(META).parquet(f"{path}/{META_FOLDER}")
+    meta = (rows if version is None else rows.filter(F.col("version") == version)).orderBy(F.col("saved").desc()).first()
+    if meta is None:
+        raise ValueError(f"no snapshot of version {version} at {path}")
+    return {t: spark.read.parquet(f"{path}/{meta['folder']}/{t}") for t in meta["tables"].split(",") if t}, meta["version"]
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """parquet (two tables), node_link (JSON lines, one node or link a line) or graphml (text parts between a head and a tail).
+    """parquet (two tables), node_link (JSON lines, one node or link a line), graphml or gexf (text parts between a head and a tail).
 
-    Rows are written by the tasks; nothing is gathered.  The parts of graphml, in order of name, are one document.
+    Rows are written by the tasks; nothing is gathered.  The parts of graphml and gexf, in order of name, are one document.
     """
     if fmt == "parquet":
         nodes.write.mode("overwrite").parquet(f"{path}/nodes")
@@ -39,15 +47,29 @@ def save_graph(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "parque
         n.unionByName(e).write.mode("overwrite").text(path)
     elif fmt == "graphml":
         n = nodes.select(F.lit(1).alias("o"), F.concat(F.lit('<node id="'), _xml("id"), F.lit('">'), _data("kind"), _data("label"), _data("attributes"), F.lit("</node>")).alias("value"))
-        e = edges.select(F.lit(2).alias("o"), F.concat(F.lit('<edge source="'), _xml("src"), F.lit('" target="'), _xml("dst"), F.lit('">'), _data("kind"), _data("key"), _data("attributes"), F.lit("</edge>")).alias("value"))
+        e = edges.select(F.lit(3).alias("o"), F.concat(F.lit('<edge source="'), _xml("src"), F.lit('" target="'), _xml("dst"), F.lit('">'), _data("kind"), _data("key"), _data("attributes"), F.lit("</edge>")).alias("value"))
         keys = "".join(f'<key id="{k}" for="all" attr.name="{k}" attr.type="string"/>' for k in ("kind", "label", "key", "attributes"))
         head = f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="directed">'
-        ends = nodes.sparkSession.createDataFrame([(0, head), (3, "</graph></graphml>")], "o int, value string")
-        ends.unionByName(n).unionByName(e).repartitionByRange("o").sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+        _write_document(n, e, head, "", "</graph></graphml>", path)
+    elif fmt == "gexf":
+        n = nodes.select(F.lit(1).alias("o"), F.concat(F.lit('<node id="'), _xml("id"), F.lit('" label="'), _xml("label"), F.lit('"><attvalues>'), _value("kind"), _value("attributes"), F.lit("</attvalues></node>")).alias("value"))
+        e = edges.select(F.lit(3).alias("o"), F.concat(F.lit('<edge source="'), _xml("src"), F.lit('" target="'), _xml("dst"), F.lit('"><attvalues>'), _value("kind"), _value("key"), _value("attributes"), F.lit("</attvalues></edge>")).alias("value"))
+        names = lambda of, *ks: f'<attributes class="{of}">' + "".join(f'<attribute id="{k}" title="{k}" type="string"/>' for k in ks) + "</attributes>"
+        head = f'<?xml version="1.0" encoding="UTF-8"?><gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed">{names("node", "kind", "attributes")}{names("edge", "kind", "key", "attributes")}<nodes>'
+        _write_document(n, e, head, "</nodes><edges>", "</edges></graph></gexf>", path)
     else:
         raise ValueError(f"unknown graph format {fmt!r}; known: {', '.join(FORMATS)}")
 
 
+def _write_document(nodes: DataFrame, edges: DataFrame, head: str, middle: str, tail: str, path: str) -> None:
+    ends = nodes.sparkSession.createDataFrame([(0, head), (2, middle), (4, tail)], "o int, value string")
+    ends.unionByName(nodes).unionByName(edges).repartitionByRange("o").sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+
+
+def _value(column: str):
+    return F.concat(F.lit(f'<attvalue for="{column}" value="'), _xml(column), F.lit('"/>'))
+
+
 def _xml(column: str):
     c = F.coalesce(F.col(column).cast("string"), F.lit(""))
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;")):
@@ -74,4 +96,11 @@ def load_graph(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[Da
         n = spark.read.format("xml").option("rowTag", "node").schema(f"_id STRING, {data}").load(path)
         e = spark.read.format("xml").option("rowTag", "edge").schema(f"_source STRING, _target STRING, {data}").load(path)
         return n.select(F.col("_id").alias("id"), filled("kind"), filled("label"), filled("attributes")), e.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), filled("kind"), filled("key"), filled("attributes"))
+    if fmt == "gexf":
+        values = "attvalues STRUCT<attvalue: ARRAY<STRUCT<_for: STRING, _value: STRING>>>"
+        pick = lambda k: F.coalesce(F.get(F.filter("attvalues.attvalue", lambda d: d["_for"] == k), F.lit(0))["_value"], F.lit("")).alias(k)
+        xml = spark.read.format("xml").option("valueTag", "_text")
+        n = xml.option("rowTag", "node").schema(f"_id STRING, _label STRING, {values}").load(path)
+        e = xml.option("rowTag", "edge").schema(f"_source STRING, _target STRING, {values}").load(path)
+        return n.select(F.col("_id").alias("id"), pick("kind"), F.coalesce("_label", F.lit("")).alias("label"), pick("attributes")), e.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), pick("kind"), pick("key"), pick("attributes"))
     raise ValueError(f"unknown graph format {fmt!r}; known: {', '.join(FORMATS)}")
