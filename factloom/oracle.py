@@ -6,6 +6,9 @@ Queries without an entry can't be put in SQL: greedy merging (greedy_communities
 
 from __future__ import annotations
 
+from factloom.operators.extraction import ASKS, RULES, TEMPERATURES
+from factloom.schemas import STRATEGIES
+
 SQL: dict[str, str] = {}
 
 # Pieces of SQL.
@@ -285,3 +288,27 @@ SQL["beam_search"] = f"WITH {BEAM} SELECT query_id, stage, kind, item_id, round(
 SQL["beam_traces"] = f"WITH {BEAM} SELECT query_id, stage, kind, string_agg(item_id, '|' ORDER BY rank) AS kept, round(sum(round(score, 3)), 6) AS score_sum FROM hit GROUP BY query_id, stage, kind"
 SQL["beam_reports"] = f"""WITH {BEAM}, l AS (SELECT query_id, CASE kind WHEN 'community' THEN stage WHEN 'entity' THEN 3 ELSE 4 END AS o, rank, printf('%s %.3f %s', kind, score, label) AS line FROM hit)
 SELECT l.query_id, 'Query: ' || any_value(qs.s) || chr(10) || string_agg(line, chr(10) ORDER BY o, rank, line) AS report FROM l JOIN qs ON qs.k = l.query_id GROUP BY l.query_id"""
+
+# What is stored, asked and derived
+
+SQL["stored_documents"] = "SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text_md5 FROM documents WHERE trim(text, ' ') <> ''"
+SQL["stored_graph"] = SQL["property_graph"]
+SQL["stored_snapshot"] = f"WITH {FACTS}, {SUPPLIES}, {ENTITIES} SELECT type_id AS kind, count(*) AS n, 2 AS version FROM en GROUP BY type_id UNION ALL SELECT relation_id, count(*), 2 FROM fs GROUP BY relation_id"
+SQL["cached_replies"] = """WITH r AS (SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN 1 WHEN p_type = 'LARGE' THEN 2 WHEN p_type = 'PROMO' THEN -1 WHEN contains('kind ' || p_type || ' of size ' || p_size, 'size 7') THEN -1 ELSE 4 END AS v FROM part)
+SELECT p_partkey, v::BIGINT AS v, v = -1 AS failed, (SELECT count(*) FROM (SELECT DISTINCT p_type, p_size FROM part)) AS sent, 0::BIGINT AS sent_again FROM r"""
+SQL["typed_edges"] = f"WITH {FACTS}, {SUPPLIES}, {pool('fs')} SELECT head_id AS src, tail_id AS dst, relation_id, count(*) AS weight, round(max(confidence), 6) AS confidence FROM t WHERE evidence <> '' AND confidence >= 0.6::DOUBLE GROUP BY 1, 2, 3"
+SQL["tier_levels"] = f"""WITH {FACTS}, {SUPPLIES}, {pool("fs")}, w AS (SELECT triple_id, head_id, tail_id, confidence AS eb, confidence - 0.35::DOUBLE AS ec, length(evidence) >= 5 AND head_id <> tail_id AS a, CASE WHEN ord % 11 = 0 THEN 'rel_in' ELSE relation_id END AS r FROM t),
+x AS (SELECT *, CASE r WHEN 'rel_in' THEN head_id LIKE 'nat%' AND tail_id LIKE 'reg%' WHEN 'rel_based' THEN tail_id LIKE 'nat%' ELSE head_id LIKE 'sup%' AND tail_id LIKE 'par%' END AS b, eb >= 0.55::DOUBLE AND ec >= 0.3::DOUBLE AND sqrt(eb * ec) >= 0.45::DOUBLE AS c FROM w)
+SELECT triple_id, CASE WHEN NOT a THEN '' WHEN NOT b THEN 'syntactic' WHEN NOT c THEN 'syntactic>semantic' ELSE 'syntactic>semantic>evidential' END AS levels, a AND b AND c AS accepted, CASE WHEN NOT a THEN 'syntactic' WHEN NOT b THEN 'semantic' WHEN NOT c THEN 'evidential' END AS rejected_reason FROM x"""
+SQL["evidential_facts"] = f"""WITH {FACTS}, {SUPPLIES}, {pool("fs")} SELECT triple_id, round(sqrt(confidence * (confidence - 0.35::DOUBLE)), 6) AS combined FROM t WHERE confidence >= 0.55::DOUBLE AND confidence - 0.35::DOUBLE >= 0.3::DOUBLE AND sqrt(confidence * (confidence - 0.35::DOUBLE)) >= 0.45::DOUBLE"""
+STRATEGY_ROWS = "(VALUES " + ", ".join(f"('{s}', {TEMPERATURES[s]}::DOUBLE, '{ASKS[s]}')" for s in STRATEGIES) + ") s(strategy, temperature, ask)"
+SQL["strategy_prompts"] = f"""SELECT doc_id, strategy, temperature, md5(ask || chr(10) || '{RULES}' || chr(10) || '- Server' || chr(10) || chr(10) || text) AS prompt_md5 FROM documents, {STRATEGY_ROWS} WHERE regexp_matches(text, '[^\\s\\x{{85}}\\p{{Z}}\\x{{1c}}-\\x{{1f}}]')"""
+SQL["strategy_replies"] = f"""SELECT doc_id, strategy, CASE WHEN source = 'src3' THEN '' ELSE source || ' in ' || lang || ' at ' || temperature END AS raw, CASE WHEN source = 'src3' THEN 'RuntimeError: busy' ELSE '' END AS error FROM documents, {STRATEGY_ROWS} WHERE source IS NOT NULL AND lang IS NOT NULL"""
+SQL["facts_between"] = f"WITH {FACTS}, {SUPPLIES} SELECT head_id || ':' || relation_id || ':' || tail_id AS triple_id FROM fs WHERE (head_id = 'sup_1' AND tail_id = 'par_1') OR (head_id = 'nat_3' AND tail_id = 'reg_1')"
+SQL["fact_surfaces"] = f"WITH {FACTS}, {SUPPLIES}, {pool('fs')} SELECT triple_id, CASE WHEN evidence <> '' THEN evidence ELSE head_id || ' ' || relation_id || ' ' || tail_id END AS surface FROM t"
+SQL["community_vectors"] = f"WITH {BEAM} SELECT k AS community_id, b::INTEGER AS bucket, round(w, 6) AS weight FROM cv WHERE abs(round(w, 6)) >= 0.00001"
+SQL["community_roots_and_children"] = f"WITH {FACTS}, {GIVEN} SELECT DISTINCT community_id, CASE WHEN level = 1 THEN 'root' ELSE 'child' END AS kind FROM cm"
+SQL["rule_violations"] = """WITH x AS (SELECT event_id, event_id % 5 = 0 AS n, value / 50 AS c, event_id % 3 = 2 AS s FROM events), y AS (SELECT event_id, concat_ws(',', CASE WHEN n THEN 'name' END, CASE WHEN c IS NULL OR c < 0 OR c > 1 THEN 'confidence' END, CASE WHEN s THEN 'strategy' END) AS broken FROM x)
+SELECT * FROM y WHERE broken <> ''"""
+SQL["mixed_ranking"] = """WITH k AS (SELECT p_brand AS q, p_partkey AS d, p_retailprice / max(p_retailprice) OVER (PARTITION BY p_brand) AS s FROM part WHERE p_partkey % 3 <> 1)
+SELECT p_brand AS query_id, p_partkey AS doc_id, round(0.7::DOUBLE * CASE WHEN p_partkey % 3 <> 0 THEN p_size / 50.0::DOUBLE ELSE 0 END + (1 - 0.7::DOUBLE) * coalesce(k.s, 0), 6) AS score FROM part LEFT JOIN k ON q = p_brand AND d = p_partkey"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +12,9 @@ from factloom.functions import ids, text, vectors
 from factloom.operators import alignment, communities, extraction, graph, measures, ontology, retrieval, verification
 from factloom.plans import abox
 from factloom.plans.abox import table
-from factloom.plans.scratch import materialise
-from factloom.sources import chat_models
+from factloom.plans.scratch import materialise, shared_dir
+from factloom.schemas import STRATEGIES, violations
+from factloom.sources import chat_models, documents, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -520,3 +522,135 @@ def level_sizes(spark, sf_dir):
     h = materialise(_given_hierarchy(spark, sf_dir), "given")
     w = Window.partitionBy("level")
     return h.select("level", F.size("entity_ids").alias("n")).withColumn("m", F.sum("n").over(w)).groupBy(F.col("level").cast("long").alias("level")).agg(F.count("*").alias("communities"), F.max("m").alias("members"))
+
+
+# What is stored, asked and derived
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def stored_documents(spark, sf_dir):
+    """Documents written as JSON lines and loaded again; blank ones are left out."""
+    path = _scratch(spark, "documents")
+    documents.write_json(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"), path)
+    return documents.load_documents(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def stored_graph(spark, sf_dir):
+    """The property graph written as GraphML and loaded again."""
+    e = abox.entities(spark, sf_dir).withColumn("description", F.lit("")).withColumn("confidence", F.lit(1.0))
+    t = abox.verified(spark, sf_dir, True).withColumn("strategy", F.lit("tot")).withColumn("confidence", F.lit(1.0))
+    path = _scratch(spark, "graph")
+    snapshots.save_graph(*graph.property_graph(abox.classes(spark), abox.relations(spark), e, t), path, "graphml")
+    nodes, edges = snapshots.load_graph(spark, path, "graphml")
+    return nodes.select("kind", "id", F.col("label").alias("other")).unionByName(edges.select("kind", F.col("src").alias("id"), F.col("dst").alias("other")))
+
+
+@query
+def stored_snapshot(spark, sf_dir):
+    """Two versions saved; the second is read."""
+    path, e, t = _scratch(spark, "snapshot"), abox.entities(spark, sf_dir), abox.verified(spark, sf_dir, True)
+    snapshots.save_snapshot({"entities": e.limit(1)}, path, 1)
+    snapshots.save_snapshot({"entities": e, "triples": t}, path, 2)
+    tables, version = snapshots.load_snapshot(spark, path)
+    by_type = tables["entities"].groupBy(F.col("type_id").alias("kind")).agg(F.count("*").alias("n"))
+    by_relation = tables["triples"].groupBy(F.col("relation_id").alias("kind")).agg(F.count("*").alias("n"))
+    return by_type.unionByName(by_relation).withColumn("version", F.lit(version))
+
+
+@query
+def cached_replies(spark, sf_dir):
+    """A scripted model asked about each part; equal requests are sent once, and the second time none is."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lit("m").alias("model"), F.concat(F.lit("kind "), "p_type", F.lit(" of size "), F.col("p_size").cast("string")).alias("prompt"), (F.col("p_size") % 2).cast("double").alias("temperature"))
+    make = chat_models.scripted([("SMALL", '{"v": 1}'), ("LARGE", '```json\n{"v": 2}\n```'), ("PROMO", '{"w": 3}'), ("size 7", "no json"), ("kind", '{"v": 4}')])
+    first, new = chat_models.cached_chat(p, spark.createDataFrame([], "fingerprint string, reply string"), make, "scripted")
+    cache = materialise(new.select("fingerprint", "reply"), "cache")
+    again, fresh = chat_models.cached_chat(p, cache, chat_models.scripted([]), "scripted")
+    rows = chat_models.parsed(again, "v int").select("p_partkey", F.coalesce("parsed.v", F.lit(-1)).cast("long").alias("v"), F.col("parse_error").isNotNull().alias("failed"))
+    return rows.crossJoin(F.broadcast(cache.agg(F.count("*").alias("sent")))).crossJoin(F.broadcast(fresh.agg(F.count("*").alias("sent_again"))))
+
+
+@query
+def typed_edges(spark, sf_dir):
+    rows = abox.triples(spark, sf_dir, supplies=True).withColumn("is_verified", F.col("evidence") != "")
+    return graph.typed_graph(rows, abox.entities(spark, sf_dir), 0.6).select("src", "dst", "relation_id", "weight", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def tier_levels(spark, sf_dir):
+    pool = abox.triples(spark, sf_dir, supplies=True)
+    wrong = pool.withColumn("relation_id", F.when(F.col("ord") % 11 == 0, "rel_in").otherwise(F.col("relation_id"))).withColumn("eb_total", F.col("confidence")).withColumn("ec_total", F.col("confidence") - 0.35)
+    rows = verification.tier_cascade(wrong, abox.entities(spark, sf_dir), abox.relations(spark), ontology.ancestry(abox.classes(spark)))
+    return rows.select("triple_id", F.array_join("tier_levels", ">").alias("levels"), "accepted", "rejected_reason")
+
+
+@query
+def evidential_facts(spark, sf_dir):
+    pool = abox.triples(spark, sf_dir, supplies=True).withColumn("eb_total", F.col("confidence")).withColumn("ec_total", F.col("confidence") - 0.35)
+    return verification.evidential_check(pool).select("triple_id", F.round("combined", 6).alias("combined"))
+
+
+@query
+def strategy_prompts(spark, sf_dir):
+    items = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return extraction.strategy_prompts(items, "- Server").select("doc_id", "strategy", "temperature", F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def strategy_replies(spark, sf_dir):
+    """Each strategy's prompt answered by a rule that fails on one source; failures stay in their row."""
+    items = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(" in "), "lang").alias("text"))
+
+    def client(prompt: str, heat: float) -> str:
+        last = prompt.splitlines()[-1]
+        if last.startswith("src3 "):
+            raise RuntimeError("busy")
+        return f"{last} at {heat}"
+
+    rows = extraction.ask(extraction.strategy_prompts(items, ""), client)
+    return rows.select("doc_id", "strategy", F.coalesce("raw", F.lit("")).alias("raw"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query
+def facts_between(spark, sf_dir):
+    return graph.triples_between(abox.verified(spark, sf_dir, True), "sup_1", "par_1").unionByName(graph.triples_between(abox.verified(spark, sf_dir, True), "nat_3", "reg_1")).select("triple_id")
+
+
+@query
+def fact_surfaces(spark, sf_dir):
+    return retrieval.triple_surfaces(abox.triples(spark, sf_dir, supplies=True)).select("triple_id", "surface")
+
+
+@query
+def community_vectors(spark, sf_dir):
+    """The cells of each community's vector that aren't zero, from the top down."""
+    rows = communities.annotated(_given_hierarchy(spark, sf_dir), abox.entities(spark, sf_dir), abox.verified(spark, sf_dir, True))
+    cells = rows.select("community_id", F.posexplode("centroid").alias("bucket", "weight")).withColumn("weight", F.round("weight", 6))
+    return cells.filter("abs(weight) >= 0.00001")
+
+
+@query
+def community_roots_and_children(spark, sf_dir):
+    h = materialise(_given_hierarchy(spark, sf_dir), "given")
+    top = communities.roots(h)
+    return top.select("community_id", F.lit("root").alias("kind")).unionByName(communities.children_of(h, top).select("community_id", F.lit("child").alias("kind")))
+
+
+@query
+def rule_violations(spark, sf_dir):
+    """Rows that break field rules, and which."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 > 0, "event_type").alias("_t"), F.when(F.col("event_id") % 5 > 0, F.col("event_type")).otherwise(" ").alias("name"), (F.col("value") / 50).alias("confidence"), F.element_at(F.array(F.lit("tot"), F.lit("open_ie"), F.lit("other")), (F.col("event_id") % 3 + 1).cast("int")).alias("strategy")).drop("_t")
+    return violations(rows, ("name",), ("confidence",), {"strategy": STRATEGIES}).select("event_id", F.array_join("broken", ",").alias("broken"))
+
+
+@query
+def mixed_ranking(spark, sf_dir):
+    """Keyword scores scaled to their query's best, mixed with a dense score of the words' overlap."""
+    d = table(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_size") / 50).alias("dense"), F.col("p_retailprice"))
+    dense = d.filter("p_partkey % 3 <> 0").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("doc_id"), F.col("dense").alias("score"))
+    keyword = d.filter("p_partkey % 3 <> 1").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("doc_id"), F.col("p_retailprice").alias("score"))
+    return retrieval.combined_ranking(dense, keyword).select("query_id", "doc_id", F.round("score", 6).alias("score"))
