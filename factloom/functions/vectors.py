@@ -24,9 +24,13 @@ def norm(a: str | Column) -> Column:
 
 
 def normalised(a: str | Column) -> Column:
-    """To length 1; a zero vector stays."""
-    n = norm(a)
-    return F.transform(_c(a), lambda v: v / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    """To length 1; a zero vector stays.
+
+    The vector and its length are bound to lambda variables: else the length would be computed again for each element.
+    """
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    scaled = lambda v, n: F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return bound(_c(a), lambda v: bound(norm(v), lambda n: scaled(v, n)))
 
 
 def lerp(a: str | Column, b: str | Column, t: float | Column) -> Column:
@@ -87,7 +91,7 @@ def with_embeddings(df: DataFrame, keys: list[str], text: str, dim: int = 256, n
     return out.withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0.0), dim)))
 
 
-#: (rows, key columns, text column, name) -> rows with a vector called ``name``.
+#: (rows, key columns, text column, name) -> rows with a vector called ``name``, of length 1 (or 0).
 Embedder = Callable[[DataFrame, list[str], str, str], DataFrame]
 
 

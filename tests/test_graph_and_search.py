@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import vectors
 from factloom.operators import alignment, communities, graph, measures, retrieval
 from factloom.sources import documents, snapshots
 
@@ -144,7 +145,7 @@ def test_search_with_other_parts(spark, plant):
     assert score(retrieval.search(stored, asked)) == score(retrieval.search(lazy, asked))
     wider = retrieval.search(lazy, asked, expander=lambda q: F.array(q, F.lit("database reads")))
     assert score(wider) != score(retrieval.search(lazy, asked)) and {t for _, t, _ in score(wider)} & {"t_3", "t_4", "t_5"}
-    count = lambda df, keys, text, name: df.withColumn(name, F.array(F.length(text).cast("double"), F.lit(1.0)))
+    count = lambda df, keys, text, name: df.withColumn(name, vectors.normalised(F.array(F.length(text).cast("double"), F.lit(1.0))))
     own = retrieval.build_index(communities.annotated(tree, entities, facts, embedder=count), entities, facts, embedder=count, stored=False)
     assert len(score(retrieval.search(own, asked))) == 3
 
