@@ -63,6 +63,7 @@ def plain(x):
 @pytest.mark.parametrize("name", [
     "multiset_jaccard", "best_window", "stable_ids", "hash_embedding", "vector_top_k", "chunks", "class_support", "induced_schema", "name_lookup", "extracted_entities",
     "merged_triples", "parsed_replies", "cascade", "checked_facts", "modularity", "connected_components", "community_summaries", "bm25_scores", "overlapping_names", "event_histogram",
+    "beam_search", "beam_reports", "near_duplicate_facts", "similar_vectors", "tier_levels", "stored_graph", "cached_replies", "community_vectors",
 ])
 def test_queries_equal_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
@@ -71,3 +72,14 @@ def test_queries_equal_sql(spark, duck, name):
     order = [[d[0] for d in want.description].index(c) for c in columns]
     rows = sorted(tuple(plain(r[i]) for i in order) for r in want.fetchall())
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == rows
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    from factloom.plans.scratch import broadcast_below
+
+    few = spark.createDataFrame([(i, "x" * 1000, [1.0] * 10) for i in range(100)], "i long, t string, v array<double>")
+    hinted = lambda df: df._jdf.queryExecution().logical().toString().split("\n")[0]
+    assert "broadcast" in hinted(broadcast_below(few, 100)).lower()
+    assert "merge" in hinted(broadcast_below(few, 99)).lower()
+    assert "merge" in hinted(broadcast_below(few, 100, 100_000)).lower()
+    assert "broadcast" in hinted(broadcast_below(few.limit(0), 100)).lower()
