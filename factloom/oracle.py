@@ -96,21 +96,22 @@ de AS (SELECT sc.*, ec_subject + ec_object + ec_coherence AS ec_total, CASE WHEN
 
 SQL["tokenize_counts"] = f"SELECT doc_id, len({words('text')})::BIGINT AS n_tokens, len(list_distinct({words('text')}))::BIGINT AS n_distinct FROM documents"
 SQL["word_counts"] = f"SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({words('text')}) AS word FROM documents) GROUP BY lang, word HAVING count(*) >= 20"
-NEXT = "p AS (SELECT a.item_id, a.text AS a, b.text AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
-SQL["multiset_jaccard"] = f"""WITH {NEXT}, w AS (SELECT item_id, unnest({words("a")}) AS w, 1 AS x, 0 AS y FROM p UNION ALL SELECT item_id, unnest({words("b")}), 0, 1 FROM p),
-c AS (SELECT item_id, w, sum(x) AS x, sum(y) AS y FROM w GROUP BY item_id, w)
-SELECT item_id, round(sum(least(x, y))::DOUBLE / sum(greatest(x, y)), 6) AS by_column, round(sum(least(x, y))::DOUBLE / sum(greatest(x, y)), 6) AS by_rows FROM c GROUP BY item_id"""
+NEXT = "p AS (SELECT a.conv_id, a.turn, coalesce(a.text, '') AS a, coalesce(b.text, '') AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+SQL["multiset_jaccard"] = f"""WITH {NEXT}, w AS (SELECT conv_id, turn, unnest({words("a")}) AS w, 1 AS x, 0 AS y FROM p UNION ALL SELECT conv_id, turn, unnest({words("b")}), 0, 1 FROM p),
+c AS (SELECT conv_id, turn, w, sum(x) AS x, sum(y) AS y FROM w GROUP BY 1, 2, 3), j AS (SELECT conv_id, turn, round(sum(least(x, y))::DOUBLE / sum(greatest(x, y)), 6) AS j FROM c GROUP BY 1, 2)
+SELECT conv_id, turn, coalesce(j, 1.0::DOUBLE) AS by_column, coalesce(j, 1.0::DOUBLE) AS by_rows FROM p LEFT JOIN j USING (conv_id, turn)"""
 SQL["lexical_overlap"] = f"""SELECT a.conv_id, a.turn, round(CASE WHEN len({words("a.text")}) = 0 OR len({words("b.text")}) = 0 THEN 0.0::DOUBLE
   ELSE len(list_intersect(list_distinct({words("a.text")}), list_distinct({words("b.text")})))::DOUBLE / len(list_distinct(list_concat({words("a.text")}, {words("b.text")}))) END, 6) AS overlap
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
-SQL["char_jaccard"] = f"WITH {NEXT} SELECT item_id, round({char_jaccard('a', 'b')}, 6) AS chars, round({char_jaccard('lower(a)', 'lower(b)')}, 6) AS conciseness FROM p"
+SQL["char_jaccard"] = f"""WITH {NEXT} SELECT conv_id, turn, CASE WHEN a = '' AND b = '' THEN 1.0::DOUBLE WHEN a = '' OR b = '' THEN 0.0::DOUBLE ELSE round({char_jaccard('a', 'b')}, 6) END AS chars,
+  CASE WHEN a = '' OR b = '' THEN 0.0::DOUBLE ELSE round({char_jaccard('lower(a)', 'lower(b)')}, 6) END AS conciseness FROM p"""
 SQL["edit_ratio"] = f"SELECT p_partkey, round({edit_ratio('p_name', 'p_type')}, 6) AS ratio, round({name_match('p_type', 'p_name')}, 6) AS matched FROM part"
 SQL["best_window"] = f"""WITH q AS (SELECT p_partkey, p_name, 'one ' || lower(p_type) || ' ' || lower(p_brand) || ' a wodget, ringlet or balt' AS hay FROM part),
 {windows("p_partkey", "p_name", "hay", "q")} SELECT k AS p_partkey, round(r, 6) AS ratio, round(r, 6) AS surface FROM best"""
-SQL["stable_ids"] = f"SELECT n_nationkey, {stable_id('cls', 'n_name')} AS class_id, {stable_id('ent', chr(39).join(['n_name || ', ' é', '']))} AS entity_id FROM nation"
-SQL["community_ids"] = "SELECT n_regionkey, 'cm_0_' || substr(sha1('0:' || n_regionkey || ':' || string_agg(n_name, ',' ORDER BY n_name)), 1, 12) AS community_id FROM nation GROUP BY n_regionkey"
+SQL["stable_ids"] = f"SELECT c_custkey, {stable_id('cls', 'c_name')} AS class_id, {stable_id('ent', chr(39).join(['c_name || ', ' é', '']))} AS entity_id FROM customer"
+SQL["community_ids"] = "SELECT c_nationkey, 'cm_0_' || substr(sha1('0:' || c_nationkey || ':' || string_agg(c_name, ',' ORDER BY c_name)), 1, 12) AS community_id FROM customer GROUP BY c_nationkey"
 SQL["squeezed_names"] = r"SELECT p_partkey, p_name || ' ' || p_brand AS name, regexp_matches(replace(p_name, ' ', ''), '^[a-z]\w*$') AS predicate FROM part"
-SQL["lead_summaries"] = "SELECT n_regionkey, substr(string_agg(n_name, ', ' ORDER BY n_name) || '. In region ' || n_regionkey || '.', 1, 280) AS summary FROM nation GROUP BY n_regionkey"
+SQL["lead_summaries"] = "SELECT c_nationkey, c_mktsegment, substr(substr(string_agg(c_name, ', ' ORDER BY c_name), 1, 280) || '. In nation ' || c_nationkey || '.', 1, 280) AS summary FROM customer GROUP BY 1, 2"
 
 # Vectors
 

@@ -26,31 +26,16 @@ def query(f: Query) -> Query:
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items next to each other: item_id, a, b."""
-    items = table(spark, sf_dir, "benchmark")
-    nxt = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b"))
-    return items.select("item_id", F.col("text").alias("a")).join(nxt, "item_id")
-
-
-# Text and identifiers
-
-
-@query
-def tokenize_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.words("text").alias("w"))
-    return rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
-
-
-@query
-def word_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("lang", F.explode(text.words("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).filter("n >= 20")
+    """conv_id, turn, a, b: each turn's text and the next one's."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("a"))
+    return c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
 
 
 @query
 def multiset_jaccard(spark, sf_dir):
     pairs = _neighbours(spark, sf_dir)
-    by_rows = alignment.multiset_jaccard_of(pairs, ["item_id"], "a", "b").withColumnRenamed("jaccard", "by_rows")
-    return pairs.withColumn("by_column", text.multiset_jaccard("a", "b")).join(by_rows, "item_id").select("item_id", F.round("by_column", 6).alias("by_column"), F.round("by_rows", 6).alias("by_rows"))
+    by_rows = alignment.multiset_jaccard_of(pairs, ["conv_id", "turn"], "a", "b").withColumnRenamed("jaccard", "by_rows")
+    return pairs.withColumn("by_column", text.multiset_jaccard("a", "b")).join(by_rows, ["conv_id", "turn"]).select("conv_id", "turn", F.round("by_column", 6).alias("by_column"), F.round("by_rows", 6).alias("by_rows"))
 
 
 @query
@@ -62,7 +47,7 @@ def lexical_overlap(spark, sf_dir):
 
 @query
 def char_jaccard(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select("item_id", F.round(text.char_jaccard("a", "b"), 6).alias("chars"), F.round(text.span_conciseness("a", "b"), 6).alias("conciseness"))
+    return _neighbours(spark, sf_dir).select("conv_id", "turn", F.round(text.char_jaccard("a", "b"), 6).alias("chars"), F.round(text.span_conciseness("a", "b"), 6).alias("conciseness"))
 
 
 @query
@@ -79,13 +64,13 @@ def best_window(spark, sf_dir):
 
 @query
 def stable_ids(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", ids.stable_id("cls", "n_name").alias("class_id"), ids.stable_id("ent", F.concat("n_name", F.lit(" é"))).alias("entity_id"))
+    return table(spark, sf_dir, "customer").select("c_custkey", ids.stable_id("cls", "c_name").alias("class_id"), ids.stable_id("ent", F.concat("c_name", F.lit(" é"))).alias("entity_id"))
 
 
 @query
 def community_ids(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("m"))
-    return rows.select("n_regionkey", ids.community_id(F.lit(0), "n_regionkey", "m").alias("community_id"))
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list("c_name").alias("m"))
+    return rows.select("c_nationkey", ids.community_id(F.lit(0), "c_nationkey", "m").alias("community_id"))
 
 
 @query
@@ -96,8 +81,9 @@ def squeezed_names(spark, sf_dir):
 
 @query
 def lead_summaries(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
-    return rows.select("n_regionkey", text.lead_summary("names", F.array(F.lit(" "), F.concat(F.lit("In region "), F.col("n_regionkey").cast("string"), F.lit(".")))).alias("summary"))
+    """Customers by segment and nation: names up to the limit, then what fits of the evidence."""
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.array_sort(F.collect_list("c_name")).alias("names"))
+    return rows.select("c_nationkey", "c_mktsegment", text.lead_summary("names", F.array(F.lit(" "), F.concat(F.lit("In nation "), F.col("c_nationkey").cast("string"), F.lit(".")))).alias("summary"))
 
 
 # Vectors
