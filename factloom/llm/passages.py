@@ -277,7 +277,7 @@ def aligned(left: list[int], right: list[int], pos: list[int], apos: list[int])
 
 def passages(docs: DataFrame) -> DataFrame:
     """doc, start, end, anchor, anchor_start, anchor_end (words, ends exclusive) of aligned passages; short ones too."""
-    chains = materialise(chained(matches(materialise(seeds(docs), "seeds"))), "chains")
+    chains = materialise(chained(matches(seeds(docs))), "chains")  # seeds are made twice: they would take as much disk as the texts
     ids = chains.select(F.col("doc").alias("id")).unionByName(chains.select(F.col("anchor").alias("id"))).distinct()
     words = materialise(involved_words(docs, ids), "words")
 
