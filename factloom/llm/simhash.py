@@ -4,11 +4,11 @@ Two fingerprints with at most four differing bits, cut into three segments, have
 differs in at most one bit.  So each distinct fingerprint is indexed under every segment with one
 bit wiped out, 64 keys in all, and fingerprints that share a key are compared in full.
 
-Equal fingerprints are one node, however many documents have them.  A key with two fingerprints
-is checked where it is counted.  For the few keys with more, fingerprints are dealt into blocks of
-at most ``BLOCK``, each pair of blocks is a task's work, and a search that never compares two
-fingerprints already connected gives a spanning forest, not all pairs.  Components come from
-plans.components.
+A key whose wiped bit lies in one half of a segment has the other half whole.  So only six rows a fingerprint are dealt, one for each
+half (a bucket is a half and its bits), and the 10 or 11 keys with wiped bits in the other half are made and sorted as
+arrays where a bucket arrives.  Equal fingerprints are one node, however many documents have them.  A bucket of more than
+``BLOCK`` fingerprints is dealt into blocks, and each pair of blocks is a task's work.  Of the links found a spanning forest is
+given, not all pairs.  Components come from plans.components.
 
 Documents with fewer than four words hash their whole word sequence; without words (null texts
 too) the fingerprint is zero and links like any other.  Repeated rows are nodes alike.
@@ -30,14 +30,17 @@ from pyspark.sql.types import LongType, StructType
 
 from factloom.llm.common import LOWER, pieces, unused
 from factloom.plans.components import components
-from factloom.plans.scratch import broadcast_below, materialise
+from factloom.plans.scratch import materialise
 
 SHINGLE, DISTANCE, SEED, BITS = 4, 4, 42, 64
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: (start, width) of a half that is held whole and of the other half of its segment, which has the wiped bit; at most HALF bits each.
+HALVES = tuple(pair for at, n in SEGMENTS for low, high in [((at, n // 2), (at + n // 2, n - n // 2))] for pair in ((low, high), (high, low)))
+HALF = 11
 BLOCK = 20_000
-#: Keys of more than two fingerprints that may be broadcast, about 2 MB; a merge join beyond.
-MANY_KEYS = 100_000
 CHUNK = 1 << 16
+#: Keys of up to so many fingerprints are compared by lags, many keys at a time.
+LAGS = 128
 
 
 def bit_votes(hashes: np.ndarray) -> np.ndarray:
@@ -77,13 +80,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {id_type.simpleString()}, fp long")
 
 
-def variant_keys(fp: Column) -> Column:
-    """64 keys: the number of the wiped bit, and its segment's other bits."""
-    keys = []
-    for start, width in SEGMENTS:
-        segment = F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
-        keys += [segment.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << i))).bitwiseOR(F.lit((start + i) << 32)) for i in range(width)]
-    return F.array(*keys)
+def buckets(fp: Column) -> Column:
+    """Six numbers: which half is held whole, and its bits."""
+    return F.array(*(F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(k << HALF)).cast("int") for k, ((start, width), _) in enumerate(HALVES)))
 
 
 def spanning_links(own: np.ndarray, other: np.ndarray | None, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -109,51 +108,108 @@ def spanning_links(own: np.ndarray, other: np.ndarray | None, distance: int = DI
     return links
 
 
-def _links_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, i, j); one group at a time is held: at most two blocks."""
-
-    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        links = spanning_links(np.concatenate(parts), None) if parts else []
-        u, v = (zip(*links, strict=True)) if links else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    last, parts = None, []
+def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links u, v (pairs of places below n) to keep, so that they connect what all of them connect."""
+    root, left, kept = np.arange(n), np.arange(len(u)), []
+    while True:
+        a, b = root[u[left]], root[v[left]]
+        live = a != b
+        if not live.any():
+            return np.concatenate(kept) if kept else left[:0]
+        left, high, low = left[live], np.maximum(a, b)[live], np.minimum(a, b)[live]
+        one = np.unique(high, return_index=True)[1]  # each root is hung below a smaller one, once
+        kept.append(left[one])
+        root[high[one]] = low[one]
+        while not np.array_equal(root[root], root):
+            root = root[root]
+
+
+def near_pairs(fp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places in fp) that connect what is near in the groups that end before ``ends``; all groups at a time, one lag after the other."""
+    last = np.repeat(ends, np.diff(ends, prepend=0))  # where each row's group ends
+    u, v, at, lag = [], [], np.arange(len(fp)), 1
+    while len(at := at[at + lag < last[at]]):
+        near = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= DISTANCE]
+        u.append(near)
+        v.append(near + lag)
+        lag += 1
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+    kept = forest(u, v, len(fp))
+    return u[kept], v[kept]
+
+
+def bucket_links(fp: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprints) within buckets that end before ``ends``; ``which`` says for each bucket which half its rows share."""
+    sizes = np.diff(ends, prepend=0)
+    start, width = (np.repeat(np.array([other[k] for _, other in HALVES])[which], sizes) for k in range(2))
+    value = (fp >> start.astype(np.uint64)).astype(np.int64) & ((1 << width) - 1)
+    bucket = np.repeat(np.arange(len(ends)) << HALF, sizes)
+    u, v, large = [], [], []
+    for wiped in range(HALF):
+        rows = np.flatnonzero(width > wiped)
+        keys = bucket[rows] | value[rows] & ~(1 << wiped)
+        order = np.argsort(keys, kind="stable")
+        rows, keys = rows[order], keys[order]
+        stops = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys)) if len(keys) else np.zeros(0, np.int64)
+        counts = np.diff(stops, prepend=0)
+        small = counts <= LAGS
+        few = rows[np.repeat(small, counts)]
+        a, b = near_pairs(fp[few], counts[small].cumsum())
+        u.append(few[a])
+        v.append(few[b])
+        for stop, n in zip(stops[~small].tolist(), counts[~small].tolist(), strict=True):
+            large += spanning_links(fp[rows[stop - n : stop]].view(np.int64), None)
+    u, v = np.concatenate(u), np.concatenate(v)
+    kept = forest(u, v, len(fp))
+    more = np.array(large, np.int64).reshape(-1, 2)
+    return np.concatenate([fp[u[kept]].view(np.int64), more[:, 0]]), np.concatenate([fp[v[kept]].view(np.int64), more[:, 1]])
+
+
+def _links_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (bucket, i, j); those of a batch and of one open bucket are held: at most two blocks."""
+
+    def found(parts: list[np.ndarray], ends: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+        u, v = bucket_links(np.concatenate(parts).view(np.uint64), ends, which)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    last, parts, held = None, [], 0  # the open bucket, its rows and their number
     for b in batches:
-        key, i, j, fp = (b.column(k).to_numpy() for k in range(4))
-        if not len(key):
+        bucket, i, j, fp = (b.column(k).to_numpy() for k in range(4))
+        if not len(fp):
             continue
-        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-            group = (key[a], i[a], j[a])
-            if group != last:
-                if len(parts):
-                    yield flush(parts)
-                last, parts = group, []
-            parts.append(fp[a:z])
-    if len(parts):
-        yield flush(parts)
+        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        if held and (bucket[0], i[0], j[0]) != last:
+            cuts = np.append(0, cuts)
+        if len(cuts):
+            which = bucket[cuts - 1] >> HALF
+            which[0] = (last if held else bucket)[0] >> HALF
+            yield found([*parts, fp[: cuts[-1]]], cuts + held, which)
+            parts, held = [], 0
+        rest = fp[cuts[-1] :] if len(cuts) else fp
+        parts.append(rest.copy())
+        held += len(rest)
+        last = (bucket[-1], i[-1], j[-1])
+    if held:
+        yield found(parts, np.array([held]), np.array([last[0] >> HALF]))
 
 
 def near_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """u, v: links that connect every pair of distinct fingerprints (column fp) within the distance."""
-    keyed = nodes.select("fp", F.explode(variant_keys(F.col("fp"))).alias("key"))
-    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("n > 1"), "keys")
-    pairs = shared.filter((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)).select("u", "v")
-    # Spark takes an exploded side for as small as its source and might broadcast it; so the other side is checked and named.
-    many = broadcast_below(shared.filter("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), MANY_KEYS)
+    dealt = nodes.select("fp", F.explode(buckets(F.col("fp"))).alias("bucket"))
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    rows = keyed.join(many, "key").withColumn("own", own)
+    rows = dealt.join(F.broadcast(materialise(sizes, "buckets")), "bucket").withColumn("own", own)  # 6 << HALF buckets at most
     # Block b meets every block i: the pair (least, greatest) is a group of its own.
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "i").alias("i"), F.greatest("own", "i").alias("j"), "fp")
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return pairs.unionByName(dealt.mapInArrow(_links_of_groups, "u long, v long")).distinct()
+    rows = rows.select("bucket", F.least("own", "i").alias("i"), F.greatest("own", "i").alias("j"), "fp")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return rows.mapInArrow(_links_of_buckets, "u long, v long").distinct()
 
 
 def components_of(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """fp, component (a fingerprint), component_id (smallest doc_id of all that links reach) from doc_id and fp of all documents."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # 64 keys are exploded from each of these small rows, so they are dealt to as many tasks as any shuffle has.
+    # Six rows are exploded from each of these small rows, so they are dealt to as many tasks as any shuffle has.
     nodes = materialise(nodes.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"), "nodes")
     roots = components(near_links(nodes, block)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))

@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -108,3 +110,46 @@ def test_null_ids_and_the_id_null(spark):
 def test_very_long_text(spark, make_docs):
     texts = [" ".join(f"w{i % 991}" for i in range(300_000)), "x" * 500_000, "short one"]
     check(make_docs(texts), texts)
+
+
+def rooted(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_buckets_over_many_batches():
+    """Buckets of one row, of a few and of more than LAGS; cut into batches anywhere; links join what the 64 keys join, and no more."""
+    rng = random.Random(6)
+    prints = sorted({rng.choice([0, 5 << 43, 9 << 22]) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))) for _ in range(700)} | {rng.getrandbits(64) for _ in range(50)})
+    rows = sorted((k << simhash.HALF | p >> at & (1 << n) - 1, 0, 0, p) for p in prints for k, ((at, n), _) in enumerate(simhash.HALVES))
+    want = plain_components(prints)
+    at = {p: i for i, p in enumerate(prints)}
+    for size in (1, 7, 500, 10_000):
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        columns = [[pa.array(c, pa.int32()) for c in list(zip(*part, strict=True))[:3]] + [pa.array(np.array([r[3] for r in part], np.uint64).view(np.int64))] for part in cut]
+        batches = (pa.RecordBatch.from_arrays(c, ["bucket", "i", "j", "fp"]) for c in columns)
+        out = [(u % 2**64, v % 2**64) for b in simhash._links_of_buckets(batches) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert all((u ^ v).bit_count() <= 4 for u, v in out)
+        assert rooted(len(prints), [(at[u], at[v]) for u, v in out]) == want
+
+
+def test_work_follows_the_number_of_fingerprints(spark):
+    """Where most keys hold three unrelated fingerprints or more, all near pairs are found without a step for each key."""
+    n = 600_000
+    near = spark.range(0, n, 100).selectExpr("xxhash64(id) ^ shiftleft(7L, int(id % 61)) ^ shiftleft(1L, int(id % 31)) AS fp")
+    nodes = spark.range(n).selectExpr("xxhash64(id) AS fp").unionByName(near).distinct().localCheckpoint()
+    began = time.perf_counter()
+    rows = {r["node"]: r["component"] for r in simhash.components(simhash.near_links(nodes)).collect()}
+    took = time.perf_counter() - began
+    pairs = spark.range(0, n, 100).selectExpr("xxhash64(id) AS u", "xxhash64(id) ^ shiftleft(7L, int(id % 61)) ^ shiftleft(1L, int(id % 31)) AS v").collect()
+    assert all(rows[r["u"]] == rows[r["v"]] for r in pairs)
+    assert took < 40, f"{took:.0f} seconds"
