@@ -8,9 +8,13 @@ place within the span comes from a second rendering with a probe in its stead.
 By default nothing is taken for granted and every prefix is rendered whole: exact for any template, in time that grows
 with the square of a conversation's turns.  A template may declare ``lookback``: a turn's output follows all earlier output
 unchanged, and depends on the turn itself and the ``lookback`` turns before it only.  Then a block of turns is rendered at a
-time, with those turns as context, so a conversation of any length takes linear time and the memory of a block.  The
-declaration is checked: when a conversation's turns have doubled (while its text is below ``CHECKED`` characters), what was put
-together must equal one rendering of the whole, else the job fails.
+time, with those turns as context, so a conversation of any length takes linear time.
+
+A template made by ``turn_by_turn`` from a function of a turn and the turns before it keeps this by its making, and takes the memory
+of a block.  For any other function the declaration is checked, however long the conversation: when its turns have doubled and at its
+end, what was put together must equal one rendering of the whole, else the job fails.  Only the whole can tell, so one
+conversation's turns and their rendering must fit a task's memory; where they don't, the job fails too.
+What a function changes at some length and takes back before the next of these checks isn't seen; without a declaration it is.
 
 Rows of a conversation come in order of turn (then role and text; rows equal in all are interchangeable) to one task.
 Output is a row per turn.
@@ -39,15 +43,21 @@ CONTROL = r"(?:\|im_start\|>|\|im_sep\|>|\|im_end\|>|/?s>|/?INST\]|</?SYS>>)"
 ESCAPE = re.compile(rf"([<\[])(\\*)(?={CONTROL})")
 UNESCAPE = re.compile(rf"([<\[])\\(\\*)(?={CONTROL})")
 PROBE = "probe"
-BLOCK, CHECKED = 16, 4 << 20
+BLOCK = 16
 
 
 @dataclass(frozen=True)
 class Template:
-    """render: a black box.  lookback: see above; None where any turn may change any output."""
+    """render: a black box.  lookback: see above; None where any turn may change any output.  proven: the lookback needs no check."""
 
     render: Render
     lookback: int | None = None
+    proven: bool = False
+
+
+def turn_by_turn(one: Callable[[list[tuple[str, str]], tuple[str, str]], str], lookback: int = 0) -> Template:
+    """The template that joins what ``one`` makes of each turn, given the (up to) ``lookback`` turns before it."""
+    return Template(lambda turns: "".join(one(turns[max(0, i - lookback) : i], turn) for i, turn in enumerate(turns)), lookback, proven=True)
 
 
 def escape(text: str) -> str:
@@ -59,9 +69,14 @@ def unescape(text: str) -> str:
     return UNESCAPE.sub(r"\1\2", text)
 
 
-def turn_markup(turns: list[tuple[str, str]]) -> str:
-    """The template used here: <|im_start|>role<|im_sep|>text<|im_end|> for each turn."""
-    return "".join(f"{START}{escape(role)}{SEP}{escape(text)}{END}" for role, text in turns)
+def marked_turn(before: list[tuple[str, str]], turn: tuple[str, str]) -> str:
+    """The markup used here: <|im_start|>role<|im_sep|>text<|im_end|>."""
+    return f"{START}{escape(turn[0])}{SEP}{escape(turn[1])}{END}"
+
+
+#: A turn's output depends on nothing but the turn.
+TURN_MARKUP = turn_by_turn(marked_turn)
+turn_markup = TURN_MARKUP.render
 
 
 def common_prefix(a: str, b: str) -> int:
@@ -78,10 +93,6 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
-#: A turn's output depends on nothing but the turn.
-TURN_MARKUP = Template(turn_markup, 0)
-
-
 def turn_spans(turns: list[tuple[str, str]], render: Render, known: int = 0) -> Iterator[tuple[int, int, str, int, int, bool]]:
     """(turn, where its output starts, its output, where its text starts and ends in that, whether earlier output was rewritten).
 
@@ -106,15 +117,30 @@ class Conversation:
         self.template, self.block = template, block
         self.turns: list[tuple[str, str]] = []
         self.known, self.length, self.place = 0, 0, 0  # turns of context, length of all output, turns reported
-        #: All turns and output of a declared template, until it has been checked to the end.
-        self.every: list[tuple[str, str]] | None = [] if template.lookback is not None else None
-        self.output, self.size, self.next_check = [], 0, 2
+        #: All turns and the digest of all output, of a template whose lookback must be checked.
+        self.every: list[tuple[str, str]] | None = [] if template.lookback is not None and not template.proven else None
+        self.output, self.checked = hashlib.sha256(), 0
 
     def add(self, role: str, text: str) -> Iterator[tuple[int, int, str, int, int, bool]]:
         """Spans (see turn_spans, places and starts within the conversation) that are ready with this turn."""
         self.turns.append((role, text))
         if self.template.lookback is not None and len(self.turns) - self.known >= self.block:
             yield from self.close()
+            if self.place >= 2 * self.checked:
+                self.check()
+
+    def end(self) -> Iterator[tuple[int, int, str, int, int, bool]]:
+        """The spans of all turns not reported yet; the conversation has ended."""
+        yield from self.close()
+        self.check()
+
+    def check(self) -> None:
+        """What was put together equals a rendering of the whole; one at twice as many turns each, and one at the end."""
+        if self.every is None or self.place == self.checked:
+            return
+        if self.output.digest() != hashlib.sha256(self.template.render(self.every).encode()).digest():
+            raise ValueError(f"the template's output depends on more than the {self.template.lookback} turns before: declare no lookback")
+        self.checked = self.place
 
     def close(self) -> Iterator[tuple[int, int, str, int, int, bool]]:
         """The spans of all turns not reported yet."""
@@ -128,18 +154,11 @@ class Conversation:
             self.length, self.place = offset + at + len(new), self.place + 1
             if self.every is not None:
                 self.every.append(self.turns[k])
-                self.output.append(new)
-                self.size += len(new)
+                self.output.update(new.encode())
             yield self.place - 1, offset + at, new, a, z, rewrites
         if self.template.lookback is None:
             self.turns, self.known = [], 0  # the conversation has ended
             return
-        if self.every is not None and (self.place >= self.next_check or self.size > CHECKED):
-            if "".join(self.output) != self.template.render(self.every):
-                raise ValueError(f"the template's output depends on more than the {self.template.lookback} turns before: declare no lookback")
-            self.next_check = 2 * self.place
-            self.every = self.every if self.size <= CHECKED else None
-            self.output = self.output if self.every else []
         keep = min(self.template.lookback, len(self.turns))
         self.turns, self.known = self.turns[len(self.turns) - keep :], keep
 
@@ -177,7 +196,7 @@ def format_turns(conversations: DataFrame, template: Template = TURN_MARKUP, los
             for c, role, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if conv is None or c != conv[0]:
                     if conv is not None:
-                        take(now.close())
+                        take(now.end())
                     conv, now, roles, done = (c,), Conversation(template, block), [], 0
                 roles.append(role or "")
                 take(now.add(role or "", text or ""))
@@ -187,7 +206,7 @@ def format_turns(conversations: DataFrame, template: Template = TURN_MARKUP, los
                 if size > 4 << 20:
                     yield batch()
         if conv is not None:
-            take(now.close())
+            take(now.end())
             yield batch()
 
     rows = conversations.select("conv_id", F.col("role").cast("string"), F.col("text").cast("string"), "turn")

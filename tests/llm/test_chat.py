@@ -124,3 +124,45 @@ def test_very_long_texts_and_ties(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     (got,) = chat.conversation_digests(df).collect()
     assert tuple(got)[1:6] == wanted(rows)[1]
+
+
+def late(first):
+    """Numbers the turns from ``first`` on; made here, as workers can't import this file."""
+
+    def render(turns):
+        return "".join(f"<{role}>{text}" + f"[{i}]" * (i >= first) for i, (role, text) in enumerate(turns))
+
+    return render
+
+
+@pytest.mark.parametrize(("turns", "first", "size"), [(60, 50, 100), (60, 50, 120_000), (200, 150, 5), (17, 16, 3)])
+def test_a_wrong_declaration_fails_at_any_size(spark, turns, first, size):
+    """Also where the first wrong turn stands after 4 MB of text, or after the last doubling of the turns."""
+    df = spark.createDataFrame([(1, i, "user", "x" * size) for i in range(turns)], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="declare no lookback"):
+        chat.format_turns(df, chat.Template(late(first), 0)).collect()
+    if size < 1000:
+        rows = chat.format_turns(df, chat.Template(late(first))).collect()
+        assert "".join(r["output"] for r in sorted(rows, key=lambda r: r["place"])) == late(first)([("user", "x" * size)] * turns)
+
+
+@pytest.mark.parametrize("lookback", [0, 1, 3])
+def test_turn_by_turn_equals_whole_renderings(lookback):
+    def one(before, turn):
+        return f"<{len(before)}{''.join(r[0] for r, _ in before)}{turn[0]}>{turn[1]}"
+
+    template = chat.turn_by_turn(one, lookback)
+    now, held, spans = chat.Conversation(template), 0, []
+    for turn in TALK:
+        spans += now.add(*turn)
+        held = max(held, len(now.turns))
+    spans += now.end()
+    assert [(k, at, new, rewrites) for k, at, new, _, _, rewrites in spans] == plain_spans(TALK, template.render)
+    assert held <= chat.BLOCK + lookback and now.every is None
+
+
+def test_the_query_holds_a_block_however_long_a_conversation_is():
+    now = chat.Conversation(chat.TURN_MARKUP)
+    for i in range(1000):
+        list(now.add("user", f"turn {i}"))
+        assert len(now.turns) < chat.BLOCK and now.every is None
