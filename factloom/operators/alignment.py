@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import word_set, words
-from factloom.functions.vectors import cosine
+from factloom.plans import blocks
 from factloom.plans.components import components
 from factloom.plans.scratch import materialise
 
@@ -47,29 +48,34 @@ def alias_groups(entities: DataFrame, threshold: float = 0.6) -> DataFrame:
     return entities.select("entity_id").join(found, "entity_id", "left").select("entity_id", F.coalesce("component", "entity_id").alias("group"))
 
 
-def similar_vectors(rows: DataFrame, key: str, vector: str, threshold: float = 0.85, missed: float = 0.005, seed: int = 17) -> DataFrame:
-    """a, b (a < b), cosine: pairs at ``threshold`` or more that share a bucket of random hyperplanes in one of several tables.
+def similar_vectors(rows: DataFrame, key: str, vector: str, threshold: float = 0.85) -> DataFrame:
+    """a, b (a < b), cosine: all pairs at ``threshold`` or more, exactly.
 
-    Buckets of unrelated vectors stay small, as their bits grow with the log of the number of vectors.  A pair at the threshold
-    shares one bit with probability 1 - angle / pi; there are as many tables as let a share of ``missed`` of such pairs
-    meet in none.  Every pair returned is verified.
+    Every two groups of vectors meet in one task, which multiplies them by tiles and returns pairs only.  Work grows with the
+    square of the number of vectors; memory of a task doesn't, and no candidate is shuffled.
     """
+    if not threshold > 0:
+        raise ValueError("need threshold > 0")
+    kind = rows.schema[key].dataType.simpleString()
     count, n = rows.agg(F.count("*"), F.max(F.size(vector))).first()
-    if not count:
-        return rows.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("cosine"))
-    bits = max(8, math.ceil(math.log2(count)) - 4)
-    tables = math.ceil(math.log(missed) / math.log1p(-((1 - math.acos(threshold) / math.pi) ** bits)))
-    # Planes come from hashes, so every task draws the same ones: +1 or -1 for each dimension.
-    sign = lambda t, i: F.when(F.pmod(F.xxhash64(F.lit(seed), t, i), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    planes = F.transform(F.sequence(F.lit(0), F.lit(tables * bits - 1)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: sign(t, i)))
-    plane_rows = materialise(rows.sparkSession.range(1).select(planes.alias("p")), "planes")  # a fixed size
-    side = F.transform("p", lambda p: F.aggregate(F.zip_with(p, F.col("v"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0)
-    signed = materialise(rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).crossJoin(F.broadcast(plane_rows)).select("id", "v", side.alias("s")), "sides")
-    bucket = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.concat_ws(":", t.cast("string"), F.array_join(F.transform(F.slice("s", t * bits + 1, F.lit(bits)), lambda b: b.cast("int").cast("string")), "")))
-    keyed = signed.select("id", F.explode(bucket).alias("k"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = pairs.join(signed.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(signed.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    return pairs.withColumn("cosine", cosine("va", "vb")).filter(F.col("cosine") >= threshold).select("a", "b", "cosine")
+
+    def each(x: pa.Table, y: pa.Table, same: bool) -> pa.Table:
+        found = []
+        left = blocks.by_length(x)
+        right = left if same else blocks.by_length(y)
+        for i, p in enumerate(left):
+            for q in right[i:] if same else right:
+                for at, to, c in blocks.products(p, q):
+                    r, s = np.nonzero(c >= threshold)
+                    ok = at + r < to + s if p is q else slice(None)
+                    r, s = r[ok], s[ok]
+                    a, b = p.keys.take(pa.array(at + r)).combine_chunks(), q.keys.take(pa.array(to + s)).combine_chunks()
+                    swap = pc.greater(a, b)
+                    found.append(pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "cosine": pa.array(np.minimum(c[r, s], 1.0))}))
+        return pa.concat_tables(found) if found else pa.table({"a": x["id"][:0], "b": x["id"][:0], "cosine": pa.array([], pa.float64())})
+
+    vectors = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return blocks.within(vectors, blocks.groups_of(count, n or 0, blocks.LEAST_GROUPS), each, f"a {kind}, b {kind}, cosine double").filter("a <> b")
 
 
 def near_duplicate_triples(triples: DataFrame, threshold: float = 0.7) -> DataFrame:

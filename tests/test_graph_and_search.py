@@ -232,6 +232,26 @@ def test_vector_pairs_recall(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 50
 
 
+def test_vector_pairs_are_all_found(spark):
+    """Pairs just above the threshold, vectors of other lengths, and rows without one."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(0, 3000, 2):
+        a, b = ([rng.gauss(0, 1) for _ in range(64)] for _ in range(2))
+        norm = sum(x * x for x in a) ** 0.5
+        a = [x / norm for x in a]
+        along = sum(x * y for x, y in zip(a, b))
+        b = [y - along * x for x, y in zip(a, b)]
+        norm = sum(x * x for x in b) ** 0.5
+        rows += [(i, a), (i + 1, [0.86 * x + (1 - 0.86**2) ** 0.5 * y / norm for x, y in zip(a, b)])]
+    odd = [(9000, rows[0][1][:8]), (9001, rows[0][1][:8]), (9002, None), (9003, []), (9004, [0.0] * 64)]
+    df = spark.createDataFrame(rows + odd, "id int, v array<double>")
+    got = {(r["a"], r["b"]): r["cosine"] for r in alignment.similar_vectors(df, "id", "v").collect()}
+    assert {(i, i + 1) for i in range(0, 3000, 2)} | {(0, 9000), (0, 9001), (9000, 9001)} <= set(got)
+    assert got[0, 9000] == pytest.approx(1.0) and min(got.values()) >= 0.85 and all(b < 9002 for _, b in got)
+    assert "sortmergejoin" not in alignment.similar_vectors(df, "id", "v")._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_bm25_histogram_and_mixing(spark):
     docs = spark.createDataFrame([(1, "red red apple"), (2, "green pear tree and leaf"), (3, "")], "doc_id int, text string")
     asked = spark.createDataFrame([(9, "red pear red")], "query_id int, raw_query string")
