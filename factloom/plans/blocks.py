@@ -80,11 +80,11 @@ def within(rows: DataFrame, groups: int, each: Callable[[pa.Table, pa.Table, boo
     return dealt.groupBy("task").applyInArrow(run, schema)
 
 
-def between(left: DataFrame, right: DataFrame, left_groups: int, right_groups: int, each: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``each`` of every group of ``left`` with every group of ``right`` (both id, v, ids of one type)."""
-    g = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+def between(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], left_groups: int, right_groups: int, each: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``each`` of every group of ``left`` with every group of ``right``; both have the same columns."""
+    g = lambda keys, n: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int").alias("g")
     other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o")
-    a = left.select("id", "v", F.lit(True).alias("first"), g(left_groups).alias("g"), other(right_groups)).withColumn("task", F.col("g") * right_groups + F.col("o"))
-    b = right.select("id", "v", F.lit(False).alias("first"), g(right_groups).alias("g"), other(left_groups)).withColumn("task", F.col("o") * right_groups + F.col("g"))
-    dealt = a.unionByName(b).select("id", "v", "first", "task")
+    a = left.select("*", F.lit(True).alias("first"), g(left_keys, left_groups), other(right_groups)).withColumn("task", F.col("g") * right_groups + F.col("o"))
+    b = right.select("*", F.lit(False).alias("first"), g(right_keys, right_groups), other(left_groups)).withColumn("task", F.col("o") * right_groups + F.col("g"))
+    dealt = a.unionByName(b).drop("g", "o")
     return dealt.groupBy("task").applyInArrow(lambda t: each(t.filter(t["first"]), t.filter(pc.invert(t["first"]))), schema)

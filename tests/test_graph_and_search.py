@@ -252,6 +252,22 @@ def test_vector_pairs_are_all_found(spark):
     assert "sortmergejoin" not in alignment.similar_vectors(df, "id", "v")._jdf.queryExecution().executedPlan().toString().lower()
 
 
+def test_vector_ranking_by_blocks(spark):
+    """Scaled copies tie and go by id; short, empty and missing vectors score as cosines do; no row is compared by the planner."""
+    rng = random.Random(8)
+    v = [rng.gauss(0, 1) for _ in range(64)]
+    rows = [(f"i{i:02}", [x * (i + 1) / 7 for x in v]) for i in range(40)] + [("n", None), ("e", []), ("s", [-x for x in v[:3]])]
+    items = spark.createDataFrame(rows, "item string, embedding array<double>")
+    asked = spark.createDataFrame([(1, v), (2, [])], "query_id int, embedding array<double>")
+    found = retrieval.vector_top_k(items, asked, 5, "item")
+    got = [(r["query_id"], r["item_id"], r["score"], r["rank"]) for r in found.orderBy("query_id", "rank").collect()]
+    assert [x[1:] for x in got[:5]] == [(f"i{i:02}", 1.0, i + 1) for i in range(5)]
+    assert [x[1:3] for x in got[5:]] == [("e", 0.0), ("i00", 0.0), ("i01", 0.0), ("i02", 0.0), ("i03", 0.0)]
+    assert retrieval.vector_top_k(items, asked, 100, "item").count() == 2 * 43 and not retrieval.vector_top_k(items.limit(0), asked, 5, "item").count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_bm25_histogram_and_mixing(spark):
     docs = spark.createDataFrame([(1, "red red apple"), (2, "green pear tree and leaf"), (3, "")], "doc_id int, text string")
     asked = spark.createDataFrame([(9, "red pear red")], "query_id int, raw_query string")
