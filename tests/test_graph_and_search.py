@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,20 @@ def test_greedy_merging_equals_plain_search(seed):
     assert sorted(communities.greedy_groups(pairs, len(pairs))) == plain_greedy(pairs, len(pairs))
 
 
+def test_greedy_merging_of_hubs_and_repeated_links():
+    """Many hubs, loops and repeats, against plain search; large stars in time that doesn't grow with their square."""
+    for seed in range(20):
+        rng = random.Random(seed)
+        nodes = [f"n{i}" for i in range(9)]
+        pairs = [(nodes[0] if rng.random() < 0.4 else rng.choice(nodes), rng.choice(nodes)) for _ in range(rng.randrange(1, 25))]
+        pairs = [p for p in pairs if p[0] != p[1]] or [("n0", "n1")]
+        assert sorted(communities.greedy_groups(pairs, len(pairs) + 3)) == plain_greedy(pairs, len(pairs) + 3)
+    stars = [(f"hub{h}", f"leaf{h}_{i}") for h in range(3) for i in range(20_000)] + [("hub0", "hub1"), ("hub1", "hub2")]
+    began = time.process_time()
+    assert sorted(map(len, communities.greedy_groups(stars, len(stars)))) == [20_001] * 3
+    assert time.process_time() - began < 20
+
+
 def test_edgeless_and_components_and_fallback(spark):
     none = spark.createDataFrame([], "src string, dst string, weight long")
     nodes = spark.createDataFrame([("a",), ("b",)], "node string")
