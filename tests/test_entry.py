@@ -74,6 +74,15 @@ def test_queries_equal_sql(spark, duck, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == rows
 
 
+@pytest.mark.parametrize("name", ["greedy_communities", "community_hierarchy"])
+def test_communities_are_of_all_facts(spark, duck, name):
+    """Every node of the entity graph is in a community, parts and what supplies them too."""
+    rows = QUERIES[name](spark, SF)
+    bottom = rows if name == "greedy_communities" else rows.filter("level = 0")
+    nodes = duck.execute(f"SELECT count(*) FROM ({SQL['node_degrees']})").fetchone()[0]
+    assert bottom.agg({"size": "sum"}).first()[0] == nodes
+
+
 def test_broadcasts_are_bounded_in_bytes(spark):
     from factloom.plans.scratch import broadcast_below
 
