@@ -1,6 +1,7 @@
 import itertools
 import random
 import time
+import xml.etree.ElementTree as tree
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,6 +198,30 @@ def test_graph_files(spark, plant, tmp_path, fmt):
         snapshots.save_graph(nodes, edges, path, "gexf2")
 
 
+@pytest.mark.parametrize("fmt", ["graphml", "gexf"])
+def test_graph_files_of_many_parts_and_splits(spark, tmp_path, fmt):
+    """Parts, and splits of parts, that begin in the middle of a document."""
+    odd = ["plain", "  spaces  ", 'a "b" <c> & &amp; d', "line\nbreak\r\nreturn\r", "", "é </data> <node "]
+    nodes = spark.createDataFrame([(f"n{i}", "entity", odd[i % len(odd)], '{"x":"%d"}' % i) for i in range(3000)], "id string, kind string, label string, attributes string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * 7) % 3000}", "triple", f"{odd[i % 5]}{i}", "{}") for i in range(3000)], "src string, dst string, kind string, key string, attributes string")
+    path, held = str(tmp_path / "g"), {"spark.sql.files.maxPartitionBytes": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        snapshots.save_graph(nodes, edges, path, fmt)
+        parts = sorted(p for p in (tmp_path / "g").iterdir() if p.name.startswith("part-"))
+        assert len(parts) > 2
+        elements = tree.fromstring("".join(p.read_bytes().decode() for p in parts)).iter()
+        assert sum(x.tag.split("}")[1] in ("node", "edge") for x in elements) == 6000
+        n, e = snapshots.load_graph(spark, path, fmt)
+        assert sorted(map(tuple, n.collect())) == sorted(map(tuple, nodes.collect()))
+        assert sorted(map(tuple, e.collect())) == sorted(map(tuple, edges.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_snapshot_and_readers(spark, plant, tmp_path):
     entities, facts = plant
     path = str(tmp_path / "snap")
