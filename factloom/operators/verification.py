@@ -170,9 +170,24 @@ def deduplicated_facts(triples: DataFrame, keep: str = "first") -> DataFrame:
     return triples.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def _syntactic(min_evidence: int = 5) -> Column:
+    return (F.length("evidence") >= min_evidence) & (F.col("head_id") != F.col("tail_id"))
+
+
 def syntactic_check(triples: DataFrame, min_evidence: int = 5) -> DataFrame:
     """Facts with enough evidence text that don't point at themselves."""
-    return triples.filter((F.length("evidence") >= min_evidence) & (F.col("head_id") != F.col("tail_id")))
+    return triples.filter(_syntactic(min_evidence))
+
+
+def _with_types(triples: DataFrame, entities: DataFrame, relations: DataFrame, ancestry: DataFrame) -> tuple[DataFrame, Column]:
+    """``triples`` with their rules and both ends' types, a row each, and whether an end's types are what a rule allows."""
+    rules = relations.groupBy("relation_id").agg(F.collect_set(F.struct("domain", "range")).alias("_rules"))
+    rows = triples.join(rules, "relation_id", "left")
+    types = entities.filter(F.col("type_id").isNotNull()).select("entity_id", "type_id").join(ancestry.withColumnRenamed("class_id", "type_id"), "type_id").groupBy("entity_id").agg(F.collect_set("ancestor_id").alias("_t"))
+    for side in ("head", "tail"):
+        rows = rows.join(types.select(F.col("entity_id").alias(f"{side}_id"), F.col("_t").alias(f"_{side}")), f"{side}_id", "left")
+    fits = lambda side, need: F.col(f"_{side}").isNotNull() & (need.isNull() | F.array_contains(f"_{side}", need))
+    return rows, F.coalesce(F.exists("_rules", lambda r: fits("head", r["domain"]) & fits("tail", r["range"])), F.lit(False))
 
 
 def semantic_check(triples: DataFrame, entities: DataFrame, relations: DataFrame, ancestry: DataFrame) -> DataFrame:
@@ -180,39 +195,34 @@ def semantic_check(triples: DataFrame, entities: DataFrame, relations: DataFrame
 
     ``ancestry`` has (class_id, ancestor_id), each class being its own ancestor.
     """
-    r = relations.select("relation_id", F.col("domain").alias("_d"), F.col("range").alias("_r"))
-    rows = triples.join(r, "relation_id")
-    for side, need in (("head_id", "_d"), ("tail_id", "_r")):
-        types = entities.filter(F.col("type_id").isNotNull()).select(F.col("entity_id").alias(side), "type_id").join(ancestry.withColumnRenamed("class_id", "type_id"), "type_id")
-        types = types.groupBy(side).agg(F.collect_set("ancestor_id").alias("_types"))
-        rows = rows.join(types, side).filter(F.col(need).isNull() | F.array_contains("_types", F.col(need))).drop("_types")
-    return rows.select(*triples.columns)
+    rows, allowed = _with_types(triples, entities, relations, ancestry)
+    return rows.filter(allowed).select(*triples.columns)
+
+
+def _evidential(eb: float = 0.55, ec: float = 0.30, combined: float = 0.45, spans: int = 5) -> Column:
+    return (F.col("eb_total") >= eb) & (F.col("ec_total") >= ec) & (combined_evidence("eb_total", "ec_total") >= combined)
 
 
 def evidential_check(scored: DataFrame, eb: float = 0.55, ec: float = 0.30, combined: float = 0.45, spans: int = 5) -> DataFrame:
     """Scored facts above three floors, with at most ``spans`` supporting spans each."""
-    rows = scored.withColumn("combined", combined_evidence("eb_total", "ec_total")).filter((F.col("eb_total") >= eb) & (F.col("ec_total") >= ec) & (F.col("combined") >= combined))
+    rows = scored.filter(_evidential(eb, ec, combined)).withColumn("combined", combined_evidence("eb_total", "ec_total"))
     return rows.withColumn("supporting_spans", F.slice("supporting_spans", 1, spans)) if "supporting_spans" in scored.columns else rows
 
 
 def tier_cascade(scored: DataFrame, entities: DataFrame, relations: DataFrame, ancestry: DataFrame, levels: tuple[str, ...] = LEVELS, **floors) -> DataFrame:
     """``scored`` with tier_levels (those passed, in order), accepted, level_reached and rejected_reason (the level that failed).
 
-    Each level sees only what the one before left; rows need triple_id, and eb_total and ec_total for the evidential level.
+    A level counts if all before it passed.  Levels are conditions on one pass over the rows, which are joined to their ends' types once.
     """
-    checks = {
-        "syntactic": syntactic_check,
-        "semantic": lambda rows: semantic_check(rows, entities, relations, ancestry),
-        "evidential": lambda rows: evidential_check(rows, **floors),
-    }
-    unknown = set(levels) - set(checks)
+    unknown = set(levels) - {"syntactic", "semantic", "evidential"}
     if unknown:
         raise ValueError(f"unknown levels: {sorted(unknown)}")
-    out, left = scored.withColumn("tier_levels", F.array().cast("array<string>")), scored
+    rows, allowed = _with_types(scored, entities, relations, ancestry) if "semantic" in levels else (scored, F.lit(True))
+    so_far, passed = F.lit(True), []
     for level in levels:
-        left = checks[level](left)
-        passed = left.select("triple_id", F.lit(level).alias("_l")).distinct()
-        out = out.join(passed, "triple_id", "left").withColumn("tier_levels", F.when(F.col("_l").isNull(), F.col("tier_levels")).otherwise(F.concat("tier_levels", F.array("_l")))).drop("_l")
+        so_far = so_far & F.coalesce({"syntactic": _syntactic(), "semantic": allowed, "evidential": _evidential(**floors) if level == "evidential" else None}[level], F.lit(False))
+        passed.append(F.when(so_far, level))
+    out = rows.select(*(F.col(f"`{c}`") for c in scored.columns), F.array_compact(F.array(*passed)).cast("array<string>").alias("tier_levels"))
     n = F.size("tier_levels")
     failed = F.get(F.array(*map(F.lit, levels)), n)
     return out.withColumn("accepted", n == len(levels)).withColumn("level_reached", F.get("tier_levels", n - 1)).withColumn("rejected_reason", failed)
