@@ -117,3 +117,29 @@ def test_vectors(spark, a, b):
     assert row["c"] == pytest.approx(want, abs=1e-9)
     assert row["l"] == pytest.approx([0.6 * x + 0.4 * y for x, y in zip(a, b)])
     assert row["n"] == pytest.approx([x / length(a) for x in a])
+
+
+def test_tasks_follow_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    from factloom.plans import sizing
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.range(20_000).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    try:
+        sizing.scaled(rows)
+        assert {n: spark.conf.get(n) for n in names} == before  # small tables change nothing
+        monkeypatch.setattr(sizing, "BYTES_A_PARTITION", 4096)
+        monkeypatch.setattr(sizing, "BYTES_A_TASK", 8192)
+        sizing.scaled(rows)
+        assert int(spark.conf.get(names[0])) > 10 and spark.conf.get(names[1]) == "8192b"
+        spark.conf.set(names[0], 1000)
+        sizing.scaled(rows)
+        assert spark.conf.get(names[0]) == "1000"  # never lowered
+        dealt = sizing.dealt(rows, ["id"], 2_000)
+        assert dealt.rdd.getNumPartitions() == 10
+        plan = dealt.groupBy("id", (dealt.id % 2).alias("x")).count()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
