@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 import uuid
 from collections import Counter
 
@@ -143,3 +145,31 @@ def test_tasks_follow_the_size_of_the_input(spark, tmp_path, monkeypatch):
     finally:
         for n, v in before.items():
             spark.conf.set(n, v)
+
+
+def test_multisets_of_long_texts(spark):
+    """Equal to counting words, at any length in time about proportional to it."""
+    rng = random.Random(2)
+    texts = [(" ".join(rng.choices("a b c d É é".split(), k=rng.randrange(9))), " ".join(rng.choices("a b c e É".split(), k=rng.randrange(9)))) for _ in range(60)]
+    texts.append((" ".join(f"w{rng.randrange(9000)}" for _ in range(12_000)), " ".join(f"w{rng.randrange(9000)}" for _ in range(12_000))))
+    began = time.perf_counter()
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, a string, b string").select("i", text.multiset_jaccard("a", "b").alias("j")).collect()
+    assert time.perf_counter() - began < 15
+    for r in rows:
+        a, b = (Counter(t.lower().split()) for t in texts[r["i"]])
+        assert r["j"] == pytest.approx(sum((a & b).values()) / sum((a | b).values()) if a | b else 1.0)
+
+
+def test_equal_values_are_computed_once(spark):
+    from factloom.plans import sizing
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def long(x):
+        seen.add(1)
+        return len(x or "")
+
+    rows = spark.createDataFrame([(i, "ab" * (i % 3) if i % 4 else None) for i in range(200)], "i int, x string")
+    got = sizing.once(rows, ["x"], {"n": long("x")}, 2).collect()
+    assert len(got) == 200 and all(r["n"] == len(r["x"] or "") for r in got) and seen.value == 4
