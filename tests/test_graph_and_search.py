@@ -149,6 +149,34 @@ def test_louvain_is_as_good_as_greedy_merging(spark):
     assert len(found) == 91 and len({found["hub"], *(found[f"leaf{i}"] for i in range(30))}) == 1
 
 
+def test_louvain_moves_numbers(spark, monkeypatch):
+    """Rounds carry numbers, not ids; loops and nodes without links stay what they are, and nothing stays cached."""
+    seen = []
+    monkeypatch.setattr(communities, "materialise", lambda df, name, keep=communities.materialise: seen.append((name, df.schema)) or keep(df, name))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f"), ("z", "z"), ("f", "f")], "src string, dst string")
+    got = {r["node"]: r["community"] for r in communities.louvain(edges).collect()}
+    assert got["a"] == got["b"] == got["c"] != got["d"] == got["e"] == got["f"] and got["z"] == "z" and set(got.values()) <= set(got)
+    rounds = [schema for name, schema in seen if name in ("moves", "links", "degrees")]
+    assert rounds and all(f.dataType.simpleString() in ("bigint", "boolean") for schema in rounds for f in schema)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_reports_read_no_whole_table(spark, plant, tmp_path):
+    """Labels come from the hits: neither facts nor entities are read again."""
+    entities, facts = plant
+    for name, rows in (("entities", entities), ("facts", facts)):
+        rows.write.parquet(str(tmp_path / name))
+    entities, facts = (spark.read.parquet(str(tmp_path / name)) for name in ("entities", "facts"))
+    tree = communities.hierarchy(graph.entity_graph(facts, entities), entities.select(F.col("entity_id").alias("node")), detector=communities.louvain)
+    index = retrieval.build_index(communities.annotated(tree, entities, facts), entities, facts, stored=False)
+    asked = spark.createDataFrame([(1, "which load balancer routes to web server")], "query_id long, raw_query string")
+    found = retrieval.search(index, asked)
+    report = retrieval.reports(index, asked, found)
+    assert "triple 0." in report.first()["report"] and "(e_" in report.first()["report"]
+    read = found["triples"].inputFiles() + report.inputFiles()
+    assert not [f for f in read if "/facts/part-" in f and str(tmp_path) in f]
+
+
 def test_search_with_other_parts(spark, plant):
     """An expander, an own embedder and summariser, and an index that embeds only what a search meets."""
     entities, facts = plant
