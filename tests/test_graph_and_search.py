@@ -336,6 +336,17 @@ def test_vector_ranking_by_blocks(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_bm25_sums_where_the_document_is(spark):
+    """Scores of a document and all queries aren't shuffled by query, and no term's counts go to one task."""
+    docs = spark.createDataFrame([(i, f"the the word{i % 7} and word{i % 3}") for i in range(50)] + [(99, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([(q, f"the word{q} and the") for q in range(5)], "query_id int, raw_query string")
+    scores = retrieval.bm25(docs, asked)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "hashpartitioning(term" not in plan
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in scores.collect()}
+    assert len(got) == 250 and got[2, 2] > got[2, 3] and got[4, 4] == pytest.approx(got[4, 11])
+
+
 def test_bm25_histogram_and_mixing(spark):
     docs = spark.createDataFrame([(1, "red red apple"), (2, "green pear tree and leaf"), (3, "")], "doc_id int, text string")
     asked = spark.createDataFrame([(9, "red pear red")], "query_id int, raw_query string")
